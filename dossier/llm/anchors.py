@@ -1,0 +1,124 @@
+"""Repeated windows of symbols (bytes or words) over a corpus, by most-significant-digit passes over content anchors.
+
+Each window of `length` symbols owns at least one anchor: the place of its smallest gram of `gram` symbols.
+Equal windows own equal anchors at equal distances, so it is enough to order the neighbourhoods of anchors.
+A pass orders ranges of window starts by a leading digit, the symbols that all windows of the range share, and
+by the whole range's symbols.  Ranges alone in their bucket hold no repeated window and are done; ranges equal as
+a whole are repeated as a whole and are done; the others are cut into shorter ranges for the next pass, down to
+single windows, whose equal groups are exactly the repeated windows.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from . import rolling as R
+from .shared import written
+
+#: Columns of a range of window starts [at - span + 1, at] in the text `row`: hashes of what its windows share and of the whole.
+RANGE = "row long, doc long, at int, core long, whole long"
+
+
+@dataclass(frozen=True)
+class Plan:
+    """length: symbols of a window.  gram: symbols of an anchor.  block: window starts of a range in the second pass."""
+
+    length: int
+    gram: int
+    block: int
+
+    @property
+    def span(self) -> int:
+        return self.length - self.gram + 1
+
+
+def _hashes(ranges: R.Ranges, base: np.ndarray, size: np.ndarray, at: np.ndarray, span: int, plan: Plan, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Core and whole hash of ranges ending at `at` (within texts that start at base); a range that the text cuts off has a whole of its own."""
+    core = ranges.of(base + at, base + at - span + 1 + plan.length, span)
+    inside = (at - span + 1 >= 0) & (at + plan.length <= size)
+    whole = R.mix(rows.view(np.uint64) + R.U64(0x51ED27) * at.astype(np.uint64), 5)
+    whole[inside] = ranges.of((base + at - span + 1)[inside], (base + at + plan.length)[inside], span + 1)
+    return core.view(np.int64), whole.view(np.int64)
+
+
+def first_ranges(ranges: R.Ranges, offsets: np.ndarray, rows: np.ndarray, plan: Plan) -> tuple[np.ndarray, ...]:
+    """(text index, at, core, whole) of the anchors of all texts."""
+    n, w = int(offsets[-1]), plan.span
+    none = np.zeros(0, np.int64)
+    if n < plan.length:
+        return none, none, none, none
+    starts = np.arange(n - plan.gram + 1)
+    gram = (ranges.of(starts, starts + plan.gram, 9) >> R.U64(32)).astype(np.uint32) | np.uint32(1)
+    least = R.sliding_min(gram, w)
+    sizes = np.diff(offsets)
+    valid = np.zeros(n + 1, np.int32)  # window starts that lie in one text
+    long = sizes >= plan.length
+    valid[offsets[:-1][long]] += 1
+    np.add.at(valid, offsets[:-1][long] + sizes[long] - plan.length + 1, -1)
+    least = np.where(np.cumsum(valid)[: len(least)] > 0, least, 0)
+    above = ~R.sliding_min(~np.r_[np.zeros(w - 1, np.uint32), least, np.zeros(w - 1, np.uint32)], w)
+    p = np.flatnonzero(above[: len(gram)] == gram)
+    text = np.searchsorted(offsets, p, "right") - 1
+    at = p - offsets[text]
+    core, whole = _hashes(ranges, offsets[text], sizes[text], at, w, plan, rows[text])
+    return text, at, core, whole
+
+
+def finer_ranges(ranges: R.Ranges, offsets: np.ndarray, rows: np.ndarray, text: np.ndarray, at: np.ndarray, span: int, step: int, plan: Plan) -> tuple[np.ndarray, ...]:
+    """Ranges of `step` starts within the ranges of `span` starts that end at `at`."""
+    parts = -(-span // step)
+    text, at = np.repeat(text, parts), np.repeat(at, parts) - np.tile(np.arange(parts) * step, len(at))
+    sizes = np.diff(offsets)[text]
+    inside = (at >= 0) & (at - step + 1 + plan.length <= sizes)
+    place = np.unique(text[inside] * np.int64(1 << 40) + at[inside])
+    text, at = place >> 40, place & ((1 << 40) - 1)
+    core, whole = _hashes(ranges, offsets[text], np.diff(offsets)[text], at, step, plan, rows[text])
+    return text, at, core, whole
+
+
+def narrow(ranges: DataFrame, first_only: bool, name: str) -> tuple[DataFrame, DataFrame]:
+    """What a pass decides: (row, at) of ranges whose windows are all repeated, and of ranges for the next pass.
+
+    first_only: a window counts as repeated only where another document with a smaller `doc` has it.
+    """
+    known = ranges.groupBy("core").agg(F.count("*").alias("n"), *([F.min("doc").alias("low"), F.max("doc").alias("high")] if first_only else []))
+    known = known.where("low < high").select("core", "low") if first_only else known.where("n > 1").select("core")
+    shared = written(ranges.join(known, "core"), f"{name}-shared")
+    same = shared.groupBy("whole").agg(F.count("*").alias("n"), F.min("doc").alias("first") if first_only else F.min(F.struct("row", "at")).alias("first")).where("n > 1")
+    marked = shared.join(same, "whole", "left")
+    if first_only:
+        hit = F.col("n").isNotNull() & (F.col("doc") > F.col("first"))
+        keep, open_ = ~hit, ~hit & (F.col("doc") > F.col("low"))
+    else:
+        hit = F.col("n").isNotNull()
+        keep, open_ = ~hit | (F.struct("row", "at") == F.col("first")), ~hit
+    marked = written(marked.select("core", "row", "at", hit.alias("hit"), keep.alias("keep"), open_.alias("open")), f"{name}-marked")
+    unsettled = marked.where("open").select("core").distinct()
+    return marked.where("hit").select("row", "at"), marked.where("keep").join(unsettled, "core", "left_semi").select("row", "at")
+
+
+def settled(windows: DataFrame, first_only: bool) -> DataFrame:
+    """(row, at) of single windows that are repeated: the last pass."""
+    if first_only:
+        known = windows.groupBy("core").agg(F.min("doc").alias("low"), F.max("doc").alias("high")).where("low < high")
+        return windows.join(known, "core").where("doc > low").select("row", "at")
+    known = windows.groupBy("core").agg(F.count("*").alias("n")).where("n > 1").select("core")
+    return windows.join(known, "core", "left_semi").select("row", "at")
+
+
+def by_row(ranges: DataFrame) -> DataFrame:
+    """Ends of ranges of each row in one list; as long as the text at most."""
+    return ranges.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("ats"))
+
+
+def spans_of(parts: list[tuple[DataFrame, int]], length: int) -> DataFrame:
+    """(row, from, to) lists: what the windows of ranges cover, from (ranges, starts in a range)."""
+    union = None
+    for ranges, span in parts:
+        one = ranges.select("row", (F.col("at") - (span - 1)).alias("s"), (F.col("at") + length).alias("e"))
+        union = one if union is None else union.union(one)
+    return union.groupBy("row").agg(F.collect_set(F.struct("s", "e")).alias("spans"))
