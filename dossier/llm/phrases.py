@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import rolling as R
-from .shared import prepare, written
+from .shared import among, prepare, written
 
 LENGTH, GRAM, BLOCK = 50, 10, 7
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -128,10 +128,12 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, b
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), order, "text", F.col("doc_id").cast("long").alias("doc_id"))
     first = written(texts.select("row", "doc", "text").mapInArrow(_first(plan), A.RANGE), "anchors")
     whole, open_ = A.narrow(first, True, "first")
-    second = texts.select("row", "doc", "text").join(A.by_row(open_), "row")
+    open_ = written(A.by_row(open_), "second-open")
+    second = among(texts.select("row", "doc", "text"), open_, "row").join(open_, "row")
     second = written(second.mapInArrow(_located(plan), A.RANGE), "blocks")
     blocks, open_ = A.narrow(second, True, "second")
-    third = texts.select("row", "doc", "text").join(A.by_row(open_), "row")
+    open_ = written(A.by_row(open_), "third-open")
+    third = among(texts.select("row", "doc", "text"), open_, "row").join(open_, "row")
     third = written(third.mapInArrow(_finer(plan), A.RANGE), "windows")
     spans = A.spans_of([(whole, plan.span), (blocks, block), (A.settled(third, True), 1)], length)
     out = texts.join(spans, "row", "left").select("doc_id", "text", "spans")

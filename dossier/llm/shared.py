@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,3 +40,13 @@ def prepare(spark: SparkSession, rows: int = 1000) -> None:
             z.write(p, p.relative_to(top.parent))
     context.addPyFile(str(name))
     context._dossier_shipped = True
+
+
+#: Keys that may be broadcast at most (16 MB or so as a hash table); with more, tables are joined by shuffle alone.
+BROADCAST_KEYS = 1_000_000
+
+
+def among(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """df with rows that can't be joined with `wanted` left out before they are shuffled, where its keys are few enough."""
+    keys = wanted.select(key).distinct()
+    return df.join(F.broadcast(keys), key, "left_semi") if keys.count() <= BROADCAST_KEYS else df

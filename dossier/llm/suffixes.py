@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from . import anchors as A
 from . import rolling as R
-from .shared import prepare, written
+from .shared import among, prepare, written
 
 LENGTH, GRAM, BLOCK = 200, 32, 13
 _NAMES = ["row", "doc", "at", "core", "whole"]
@@ -89,10 +89,12 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, bloc
     texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
     first = written(texts.select("row", "text").mapInArrow(_first(plan), A.RANGE), "anchors")
     whole, open_ = A.narrow(first, False, "first")
-    second = texts.select("row", "text").join(A.by_row(open_), "row")
+    open_ = written(A.by_row(open_), "second-open")
+    second = among(texts.select("row", "text"), open_, "row").join(open_, "row")
     second = written(second.mapInArrow(_finer(plan, plan.span, block), A.RANGE), "blocks")
     blocks, open_ = A.narrow(second, False, "second")
-    third = texts.select("row", "text").join(A.by_row(open_), "row")
+    open_ = written(A.by_row(open_), "third-open")
+    third = among(texts.select("row", "text"), open_, "row").join(open_, "row")
     third = written(third.mapInArrow(_finer(plan, block, 1), A.RANGE), "windows")
     spans = A.spans_of([(whole, plan.span), (blocks, block), (A.settled(third, False), 1)], length)
     out = texts.join(spans, "row", "left").select("doc_id", "text", "spans")
