@@ -5,8 +5,9 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from dossier.llm import leaks, minhash, quality
+from dossier.llm import leaks, minhash, pieces, quality, secrets
 from dossier.llm.shared import shared_dir
 
 
@@ -25,13 +26,25 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return leaks.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with a mask in place of each secret and n_chars counted again."""
+    return secrets.mask_secrets(docs).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents as piece ids, with the scores of their best segmentations."""
+    return pieces.encode_documents(docs)
+
+
 STAGES = [
     ("quality rules", quality_rules),
     ("MinHash near-dedup", near_dedup),
     ("benchmark decontamination", decontamination),
+    ("secret scans", secret_scans),
+    ("SentencePiece encoding", sentencepiece),
 ]
 
-#: No SQL: sketches of stages aside, the last stage's segmentation has no SQL form.
+#: None: divergence from references, shingle components and piece lattices have no SQL form of bearable cost.
 ORACLE_SQL = None
 
 

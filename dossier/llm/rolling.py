@@ -73,13 +73,13 @@ def flat(texts: pa.LargeStringArray) -> tuple[np.ndarray, np.ndarray]:
     return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str = "text") -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
-    """A batch in parts of about SLICE_BYTES of text; a longer text is a part of its own."""
+def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """A batch in parts of about `most` bytes of text; a longer text is a part of its own."""
     texts = as_texts(batch.column(batch.schema.get_field_index(text)))
     _, offsets = flat(texts)
     at = 0
     while at < len(texts):
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE_BYTES, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
         yield batch.slice(at, to - at), texts.slice(at, to - at)
         at = to
 
