@@ -45,29 +45,41 @@ def _words(text: Column) -> Column:
     return F.array_remove(F.split(text, _SPACES), "")
 
 
-def with_histograms(docs: DataFrame) -> DataFrame:
-    """docs with __words, and the counts __chars (by class) and __common (of common words, and of all other words)."""
-    out = docs.withColumn("__t0", F.coalesce("text", F.lit("")))
-    for i, (_, pattern) in enumerate(_CLASSES):
-        out = out.withColumn(f"__t{i + 1}", F.regexp_replace(f"__t{i}", pattern, ""))
-    n = len(_CLASSES)
-    counts = [F.length(f"__t{i}") - F.length(f"__t{i + 1}") for i in range(n)]
-    out = out.select(*docs.columns, F.col("__t0").alias("__text"), F.col(f"__t{n}").alias("__symbols"), F.array(*counts, F.length(f"__t{n}")).alias("__chars"))
-    out = out.withColumn("__words", _words(F.col("__text")))
+def _common(words: Column, lang: Column) -> Column:
+    """Counts of the language's common words, and of all other words."""
     lists = F.create_map(*(x for k, v in COMMON.items() for x in (F.lit(k), F.array(*map(F.lit, v)))))
-    own = F.coalesce(F.try_element_at(lists, F.coalesce("lang", F.lit(""))), F.array().cast("array<string>"))
-    padded = F.lower(F.concat(F.lit(" "), F.array_join("__words", "  "), F.lit(" ")))
+    own = F.coalesce(F.try_element_at(lists, F.coalesce(lang, F.lit(""))), F.array().cast("array<string>"))
+    padded = F.lower(F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" ")))
     each = let(padded, lambda t: F.transform(own, lambda w: (F.octet_length(t) - F.octet_length(F.replace(t, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.octet_length(w) + 2)))
-    rest = lambda xs: F.concat(xs, F.array(F.size("__words") - F.aggregate(xs, F.lit(0.0), lambda a, b: a + b)))
-    return out.withColumn("__common", let(each, rest))
+    return let(each, lambda xs: F.concat(xs, F.array(F.size(words) - F.aggregate(xs, F.lit(0.0), lambda a, b: a + b))))
+
+
+def _classes(text: Column, body: Callable[[Column, Column], Column], at: int = 0, counts: tuple[Column, ...] = ()) -> Column:
+    """body of the counts of character classes and of what is left of a text: each class is taken out of the text in turn, once."""
+    if at == len(_CLASSES):
+        return body(F.array(*counts, F.length(text)), text)
+    less = F.regexp_replace(text, _CLASSES[at][1], "")
+    return let(less, lambda t: _classes(t, body, at + 1, (*counts, F.length(text) - F.length(t))))
+
+
+def histograms(text: Column, lang: Column, more: Callable[[Column, Column, Column], list[Column]] = lambda text, words, left: []) -> Column:
+    """Struct of chars (by class) and common (words), and of what `more` makes of text, words and what is left of the text.
+
+    One nested expression, so that a filter on it can be pushed below projections without being computed twice.
+    """
+
+    def of(t: Column) -> Column:
+        return let(_words(t), lambda w: _classes(t, lambda chars, left: F.struct(chars.alias("chars"), _common(w, lang).alias("common"), *more(t, w, left))))
+
+    return let(F.coalesce(text, F.lit("")), of)
 
 
 def references(docs: DataFrame) -> tuple[dict[str, list[float]], dict[str, list[float]], list[float]]:
     """Shares of character classes and of common words for each listed language, and of character classes in all."""
-    some = with_histograms(docs.select("text", "lang"))
+    some = docs.select("lang", histograms(F.col("text"), F.col("lang")).alias("q")).select("lang", "q.chars", "q.common")
     known = F.when(F.col("lang").isin(*COMMON), F.col("lang")).otherwise("")
     n, m = len(_CLASSES) + 1, len(next(iter(COMMON.values()))) + 1
-    sums = [F.sum(F.get("__chars", F.lit(i))).alias(f"c{i}") for i in range(n)] + [F.sum(F.get("__common", F.lit(i))).alias(f"w{i}") for i in range(m)]
+    sums = [F.sum(F.get("chars", F.lit(i))).alias(f"c{i}") for i in range(n)] + [F.sum(F.get("common", F.lit(i))).alias(f"w{i}") for i in range(m)]
     rows = some.groupBy(known.alias("lang")).agg(*sums).collect()  # five rows at most
     share = lambda xs: [x / (sum(xs) or 1) for x in xs]
     chars = {r["lang"]: [float(r[f"c{i}"] or 0) for i in range(n)] for r in rows}
@@ -99,7 +111,7 @@ def repeated_words(words: Column, k: int = WINDOW) -> Column:
         step = lambda acc, x: F.struct(x.alias("last"), (acc["n"] + F.least(F.lit(k), x - acc["last"])).alias("n"))
         return F.aggregate(at, start, step, lambda acc: acc["n"])
 
-    hashes = lambda w: F.transform(F.sequence(F.lit(0), F.size(w) - k), lambda i: F.xxhash64(*(F.get(w, i + j) for j in range(k))))
+    hashes = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - k + 1), lambda i: F.xxhash64(F.slice(w, i, k)))
     count = lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(union(places(h)))
     return let(words, lambda w: F.when(F.size(w) < k, F.lit(0)).otherwise(let(hashes(w), count)))
 
@@ -110,30 +122,36 @@ def _judged(docs: DataFrame) -> DataFrame:
     table = lambda d: F.create_map(*(x for k, v in d.items() for x in (F.lit(k), array(v)))) if d else F.create_map().cast("map<string,array<double>>")
     lang = F.coalesce("lang", F.lit(""))
     share = lambda xs: F.transform(xs, lambda x: x / F.greatest(F.aggregate(xs, F.lit(0.0), lambda a, b: a + b), F.lit(1.0)))
-    out = with_histograms(docs)
-    out = out.withColumns({
-        "__n": F.size("__words"),
-        "__letters": F.length("__text") - F.get("__chars", F.lit(1)),
-        "__symbols": F.length("__symbols") - F.length(F.regexp_replace("__symbols", r"[#*$%&|<>]+", "")),
-        "__lines": let(F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x))),
-        "__repeats": repeated_words(F.col("__words")),
-        "__char_distance": js_distance(share(F.col("__chars")), F.coalesce(F.try_element_at(table(chars), lang), array(every))),
-        "__word_distance": js_distance(share(F.col("__common")), F.try_element_at(table(words), lang)),
-    })
-    failed = (F.col("__n") < 10) | (100 * F.col("__repeats") > 20 * F.col("__n"))
-    odd = ((F.length("__text") >= MIN_CHARS) & (F.col("__char_distance") > MAX_CHAR_DISTANCE)) | ((F.col("__n") >= MIN_WORDS) & F.coalesce(F.col("__word_distance") > MAX_WORD_DISTANCE, F.lit(False)))
-    return out.withColumns({"__failed": failed, "__kept": ~failed & ~odd})
+
+    def counted(text: Column, words: Column, left: Column) -> list[Column]:
+        lines = let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
+        symbols = F.length(left) - F.length(F.regexp_replace(left, r"[#*$%&|<>]+", ""))
+        return [F.length(text).alias("length"), F.size(words).alias("n"), symbols.alias("symbols"), lines.alias("lines"), repeated_words(words).alias("repeats")]
+
+    def judge(q: Column) -> Column:
+        char = js_distance(share(q["chars"]), F.coalesce(F.try_element_at(table(chars), lang), array(every)))
+        word = js_distance(share(q["common"]), F.try_element_at(table(words), lang))
+        failed = (q["n"] < 10) | (100 * q["repeats"] > 20 * q["n"])
+
+        def verdict(d: Column) -> Column:
+            odd = ((q["length"] >= MIN_CHARS) & (d["char"] > MAX_CHAR_DISTANCE)) | ((q["n"] >= MIN_WORDS) & F.coalesce(d["word"] > MAX_WORD_DISTANCE, F.lit(False)))
+            letters = q["length"] - F.get(q["chars"], F.lit(1))
+            return F.struct(q["n"].alias("n"), letters.alias("letters"), q["symbols"].alias("symbols"), q["lines"].alias("lines"), q["repeats"].alias("repeats"), failed.alias("failed"), (~failed & ~odd).alias("kept"), d["char"].alias("char"), d["word"].alias("word"))
+
+        return let(F.struct(char.alias("char"), word.alias("word")), verdict)
+
+    return docs.withColumn("__q", let(histograms(F.col("text"), F.col("lang"), counted), judge))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed, kept, and both distances (rounded)."""
-    count = lambda name, to: F.col(name).cast("long").alias(to)
+    count = lambda name, to: F.col(f"__q.{name}").cast("long").alias(to)
     return _judged(docs.select("doc_id", "text", "lang")).select(
-        "doc_id", count("__n", "n_words"), count("__letters", "word_chars"), count("__symbols", "n_symbols"), count("__lines", "n_dup_lines"), count("__repeats", "n_repeat_words"),
-        F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"), F.round("__char_distance", 6).alias("char_distance"), F.round("__word_distance", 6).alias("word_distance"),
+        "doc_id", count("n", "n_words"), count("letters", "word_chars"), count("symbols", "n_symbols"), count("lines", "n_dup_lines"), count("repeats", "n_repeat_words"),
+        F.col("__q.failed").alias("base_failed"), F.col("__q.kept").alias("kept"), F.round("__q.char", 6).alias("char_distance"), F.round("__q.word", 6).alias("word_distance"),
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without those that the rules reject; all columns stay as they are."""
-    return _judged(docs).where("__kept").select(*docs.columns)
+    return _judged(docs).where("__q.kept").select(*docs.columns)
