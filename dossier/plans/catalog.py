@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import record_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {**record_queries.QUERIES, **text_queries.QUERIES}
+ORACLE_SQL = {**record_queries.ORACLE_SQL, **text_queries.ORACLE_SQL}
