@@ -65,7 +65,8 @@ def windows(query: str, width: int = 6) -> list[str]:
 
 def existence(quotes: DataFrame, corpus: DataFrame, quote: str, text: str, keys: list[str], gram: int = 6) -> DataFrame:
     """Share of each quote's grams that the corpus has, by an equality join of hashed grams."""
-    grams = lambda c: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - gram + 1, F.lit(1))), lambda i: F.xxhash64(F.substr(c, i, F.lit(gram)))))
+    # A look-ahead steps through a text once; cutting out each gram by its place would start over each time.
+    grams = lambda c: F.transform(F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1))), lambda g: F.xxhash64(g))
     own = quotes.where(F.length(quote) >= gram).select(*keys, F.explode(grams(F.col(quote))).alias("gram"))
     wanted = own.select("gram").distinct()
     there = corpus.where(F.length(text) >= gram).select(F.explode(grams(F.col(text))).alias("gram")).join(wanted, "gram", "left_semi").distinct()
