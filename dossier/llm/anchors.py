@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .shared import written
+from .shared import removed, written
 
 #: Columns of a range of window starts [at - span + 1, at] in the text `row`: hashes of what its windows share and of the whole.
 RANGE = "row long, doc long, at int, core long, whole long"
@@ -84,10 +84,12 @@ def narrow(ranges: DataFrame, first_only: bool, name: str) -> tuple[DataFrame, D
     """What a pass decides: (row, at) of ranges whose windows are all repeated, and of ranges for the next pass.
 
     first_only: a window counts as repeated only where another document with a smaller `doc` has it.
+    `ranges` is a written table; it is deleted when those that share a digit have been written.
     """
     known = ranges.groupBy("core").agg(F.count("*").alias("n"), *([F.min("doc").alias("low"), F.max("doc").alias("high")] if first_only else []))
     known = known.where("low < high").select("core", "low") if first_only else known.where("n > 1").select("core")
     shared = written(ranges.join(known, "core"), f"{name}-shared")
+    removed(ranges)
     same = shared.groupBy("whole").agg(F.count("*").alias("n"), F.min("doc").alias("first") if first_only else F.min(F.struct("row", "at")).alias("first")).where("n > 1")
     marked = shared.join(same, "whole", "left")
     if first_only:
@@ -97,6 +99,7 @@ def narrow(ranges: DataFrame, first_only: bool, name: str) -> tuple[DataFrame, D
         hit = F.col("n").isNotNull()
         keep, open_ = ~hit | (F.struct("row", "at") == F.col("first")), ~hit
     marked = written(marked.select("core", "row", "at", hit.alias("hit"), keep.alias("keep"), open_.alias("open")), f"{name}-marked")
+    removed(shared)
     unsettled = marked.where("open").select("core").distinct()
     return marked.where("hit").select("row", "at"), marked.where("keep").join(unsettled, "core", "left_semi").select("row", "at")
 
