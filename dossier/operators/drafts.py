@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 # The line protocol of drafts.
 ANCHOR = r"^【(转换稿)?第 ?(\d+)(?:-(\d+))? ?页】$"
 FILE_HEAD = r"^### 文件: (.*?)(?: \((?:kind|route)=.*)?$"
-HEADINGS = ((1, r"^第[一二三四五六七八九十百零\d]+[章节篇部分]"), (2, r"^[一二三四五六七八九十]+、"), (3, r"^（[一二三四五六七八九十]+）"))
+HEADINGS = ((1, r"^第[一二三四五六七八九十百千0-9]+[章节篇部分]"), (2, r"^[一二三四五六七八九十]+、\s*."), (3, r"^（[一二三四五六七八九十0-9]+）\s*."))
 CARRY_LINES = 300
 
 
@@ -23,7 +23,7 @@ def anchor_page(line: Column) -> Column:
 
 def heading_level(line: Column) -> Column:
     """1 to 3, or null for a line that is no heading; a Markdown heading counts its marks, three at most."""
-    marks = F.length(F.regexp_extract(line, r"^(#{1,6})\s+\S", 1))
+    marks = F.length(F.regexp_extract(line, r"^\s*(#{1,6})\s+\S", 1))
     out = F.when(marks > 0, F.least(marks, F.lit(3)))
     for level, pattern in HEADINGS:
         out = out.when(F.trim(line).rlike(pattern), level)
