@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # Suffixes of each route, name spaces of office files, and the rows of a sheet that are read.
-ROUTES = {"text": "txt csv md json tsv", "images": "png jpg jpeg bmp tif tiff webp", "word_native": "docx", "word_legacy": "doc", "excel_ooxml": "xlsx xlsm", "excel_xls": "xls", "excel_xlsb": "xlsb", "presentation_native": "pptx", "pdf": "pdf"}
+ROUTES = {"text": "txt csv md json tsv", "images": "png jpg jpeg bmp tif tiff webp", "word_native": "docx", "word_legacy": "doc", "excel_ooxml": "xlsx xlsm", "excel_xls": "xls", "excel_xlsb": "xlsb", "presentation_native": "pptx", "office_convert": "ppt odt ods odp", "pdf": "pdf"}
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
