@@ -126,10 +126,12 @@ def n_best(vocabulary: Vocabulary, x: tuple[int, ...], n: int) -> list[tuple[flo
     ahead = [0.0] + [-np.inf] * len(x)
     for j in range(1, len(x) + 1):
         ahead[j] = max(ahead[i] + s for i, s, _ in lattice[j])
-    heap: list[tuple[float, int, int, float, tuple | None]] = [(-ahead[-1], 0, len(x), 0.0, None)]
+    # What a path loses to the best is summed arc by arc, and the best arc of each end loses exactly 0: with the place
+    # nearest the start first among equals, a path that is begun is completed before others as good are looked at.
+    heap: list[tuple[float, int, int, float, tuple | None]] = [(0.0, len(x), 0, 0.0, None)]
     out, order = [], 0
     while heap and len(out) < n:
-        _, _, at, behind, path = heapq.heappop(heap)
+        lost, at, _, behind, path = heapq.heappop(heap)
         if at == 0:
             ids: list[int] = []
             while path:
@@ -139,7 +141,7 @@ def n_best(vocabulary: Vocabulary, x: tuple[int, ...], n: int) -> list[tuple[flo
             continue
         for i, s, k in lattice[at]:
             order += 1
-            heapq.heappush(heap, (-(ahead[i] + s + behind), order, i, s + behind, ((i, k), path)))
+            heapq.heappush(heap, (lost + (ahead[at] - (ahead[i] + s)), i, order, s + behind, ((i, k), path)))
     return out
 
 

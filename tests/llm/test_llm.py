@@ -248,6 +248,25 @@ def test_pieces_round_trip_and_n_best(docs):
         assert pieces.decode(v, ids.tolist()) == text
 
 
+@pytest.mark.parametrize("char, size", [("#", 1003), ("-", 10003), ("#", 10015)])
+def test_n_best_completes_one_of_many_equal_paths(char, size, monkeypatch):
+    v, pops = pieces.Vocabulary.load(), []
+    x = tuple(pieces.symbols(char * size).tolist())
+
+    def pop(heap, pop=pieces.heapq.heappop):
+        pops.append(1)
+        assert len(pops) <= 4 * len(x), "paths are expanded without being completed"
+        return pop(heap)
+
+    monkeypatch.setattr(pieces.heapq, "heappop", pop)
+    three = pieces.n_best(v, x, 3)
+    best = [[0.0]] + [[]] * len(x)
+    for j in range(1, len(x) + 1):  # the three best sums to each place
+        best[j] = sorted((b + s for i, s, _ in pieces.arcs(v, x[max(0, j - v.longest) : j])[-1] for b in best[max(0, j - v.longest) + i]), reverse=True)[:3]
+    assert [s for s, _ in three] == best[-1]
+    assert len({tuple(ids) for _, ids in three}) == 3 and all(pieces.decode(v, ids) == char * size for _, ids in three)
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     bench = spark.createDataFrame([], "item_id int, text string")
