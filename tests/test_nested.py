@@ -74,6 +74,22 @@ def test_trees(spark):
     assert rows(trees.matching_branches(pairs, nodes.where("id = 4"), "id")) == [(1,), (2,), (4,)]
 
 
+def test_closures_have_no_limit_of_levels_and_end_at_circles(spark):
+    chain = spark.createDataFrame([(k, k - 1 or None) for k in range(1, 101)], "id int, up int")
+    pairs = trees.closure(chain, "id", "up").cache()
+    assert rows(trees.descendant_counts(pairs)) == sorted(((k, 100 - k) for k in range(1, 101)), key=repr)
+    assert rows(trees.matching_branches(pairs, chain.where("id = 100"), "id")) == sorted(((k,) for k in range(1, 101)), key=repr)
+    assert pairs.where("distance != descendant - ancestor").isEmpty()
+    circle = spark.createDataFrame([(1, 3), (2, 1), (3, 2), (4, 3), (5, 5)], "id int, up int")
+    assert rows(trees.closure(circle, "id", "up")) == [(1, 1, 0), (1, 2, 1), (1, 3, 2), (1, 4, 3), (2, 1, 2), (2, 2, 0), (2, 3, 1), (2, 4, 2), (3, 1, 1), (3, 2, 2), (3, 3, 0), (3, 4, 1), (4, 4, 0), (5, 5, 0)]
+
+
+def test_closures_have_no_limit_of_rows(spark):
+    nodes = spark.range(1, 80_001).select("id", F.expr("nullif(id div 2, 0)").alias("up"))
+    got = trees.descendant_counts(trees.closure(nodes, "id", "up")).agg(F.count("*"), F.sum("descendants")).first()
+    assert tuple(got) == (80_000, sum(k.bit_length() - 1 for k in range(1, 80_001)))
+
+
 def archive(parts):
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
