@@ -216,6 +216,20 @@ def test_random_tokens_score_above_words():
     assert secrets.randomness("internationalisationprocedures")[1] < 0.01
 
 
+def test_random_keys_are_added_whatever_the_size_of_the_table(spark):
+    rnd = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rnd.choice(a) for _ in range(n)) for a, n in ((letters + letters.upper() + "0123456789", 32), (letters + letters.upper() + "0123456789", 16), (letters, 40), ("ABCDEF0123456789", 16))]
+    plain = "The internationalisation of getElementById and 4111111111111111 on 2024-03-05 in src/main/java, " + "x" * 90 + " " + "xy" * 60
+    few = [(k, f"é {plain} use {key} here") for k, key in enumerate(keys)]
+    for rows in (few, few + [(9, plain)] * 300):
+        given = spark.createDataFrame(rows, "doc_id long, text string")
+        found = {r.doc_id: [few[r.doc_id][1][s["from"] : s["to"]] for s in r.added] for r in secrets.secret_spans(given).where("doc_id < 9").collect()}
+        assert found == {k: [key] for k, key in enumerate(keys)}
+        assert {r.text for r in secrets.mask_secrets(given).where("doc_id < 9").collect()} == {f"é {plain} use {secrets.MASK} here"}
+        assert secrets.secret_spans(given).where("doc_id = 9 and size(added) > 0").isEmpty()
+
+
 def test_pages(spark):
     page = ("<html><head><title>T</title></head><body><nav><a href=x>Menu</a></nav><article><h1>Head &amp; line</h1><p>One<br>two &lt;3. <b>Bold</b><p>Next, part."
             "<div class='comments'>Spam</div></article><footer>Foot</footer><script>'</p>'</script></body></html>")
