@@ -3,9 +3,10 @@
 Each text block hangs at a root-to-leaf path of tags.  Per path, the length of text, its punctuation, the text
 within links and the number of tags are added up; the text-to-tag ratio of the paths is smoothed with that of
 their neighbours in page order, fused with the punctuation ratio and the share of text outside links, and paths
-over a threshold that the page itself sets are content.  Where a page has an article (or main) element, the
-paths that are judged are those below it; elements that are frames by definition (nav, footer, form, comments,
-and so on, by tag, role, class or id) are never content.
+over a threshold that the page itself sets are content.  Names and tags are a feature of the score: where a page has
+an article (or main) element, paths outside it weigh less, as do those in a frame (nav, footer, form, comments, and
+so on, by tag, role, class or id); headings, paragraphs, list items and cells weigh more.  An element that holds an article, or on a page without one
+most of the text in several blocks, is no frame whatever its name.  Hidden elements are never content.
 
 Defined results: a null or empty page, or one without content, gives an empty text; unclosed, misnested and cut
 off mark-up is read as far as it goes; repeated rows and null ids are pages of their own; an empty table gives an
@@ -15,7 +16,9 @@ empty result.
 from __future__ import annotations
 
 import html
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +37,11 @@ BLOCK = frozenset("address article aside blockquote body center dd details div d
 FRAME = frozenset("nav header footer aside form button menu dialog head".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 FRAME_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|newsletter|subscribe|popup|modal|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|header|comments?|replies|reply|disqus|related|share|sharing|social|pagination|widget)(?:$|[\s_-])", re.IGNORECASE)
+#: Weights of paths in frames, of those outside the article where there is one, and elsewhere of tags that hold text.
+IN_FRAME, OUTSIDE = 0.01, 0.05
+TAGS = dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), 8.0) | dict.fromkeys("p li td th dd dt blockquote pre figcaption caption summary".split(), 4.0)
+#: Characters a tag, and share of punctuation, beyond which more is no more evidence (a page of long paragraphs keeps its headline).
+LONG, DENSE = 200, 0.1
 PUNCTUATION = re.compile(r"[.,;:!?。，、]")
 #: Elements that end an open one of their kind, within the nearest of the others.
 CLOSES = {"p": BLOCK, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
@@ -44,18 +52,30 @@ class Blocks:
 
     def __init__(self, page: str):
         self.out: list[dict] = []
-        self.stack: list[tuple[str, bool]] = []  # tag, whether it begins a frame
+        self.stack: list[tuple[str, int]] = []  # tag, and the number of the frame that it begins (0: none, -1: hidden)
+        self.frames = 0
+        self.named: dict[int, bool] = {}  # of each frame, whether a form or a name makes it one, rather than its tag
+        self.holders: set[int] = set()  # frames that hold an article
         self.text: list[str] = []
         self.linked, self.tags = 0, 0
-        self.articles = False
         self.read(page)
+        self.articles = any(b["article"] for b in self.out)
+        if not self.articles:
+            sizes: Counter = Counter()
+            blocks = Counter(f for b in self.out for f in b["frames"])
+            for b in self.out:
+                sizes.update(dict.fromkeys(b["frames"], len(b["text"]) - b["linked"]))
+            total = sum(len(b["text"]) - b["linked"] for b in self.out)
+            self.holders |= {f for f, n in sizes.items() if 2 * n > total and blocks[f] > 1 and self.named[f]}
+        for b in self.out:
+            b["frame"] = bool(b["frames"] - self.holders)
 
     def end_block(self) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(self.text))).strip()
-        if text:
+        if text and not any(f < 0 for _, f in self.stack):
             tags = [t for t, _ in self.stack if t in BLOCK]
             self.out.append({
-                "path": "/".join(tags), "text": text, "frame": any(f for _, f in self.stack), "tags": self.tags + 1, "linked": min(self.linked, len(text)),
+                "path": "/".join(tags), "text": text, "frames": frozenset(f for _, f in self.stack if f), "tags": self.tags + 1, "linked": min(self.linked, len(text)),
                 "article": any(t in ("article", "main") for t in tags), "punctuation": len(PUNCTUATION.findall(text)),
             })
         self.text, self.linked, self.tags = [], 0, 0
@@ -82,10 +102,14 @@ class Blocks:
         found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTES.findall(attributes)} if attributes and not attributes.isspace() else {}
         # A header within the article holds its headline.
         frame = tag in FRAME and not (tag == "header" and any(t == "article" for t, _ in self.stack))
-        frame = frame or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        frame = frame or found.get("role", "").lower() in FRAME_ROLES or (tag not in ("html", "body", "article", "main") and bool(FRAME_NAMES.search(found.get("class", "")) or FRAME_NAMES.search(found.get("id", ""))))
-        self.stack.append((tag, frame))
-        self.articles |= tag in ("article", "main") and not frame
+        hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
+        named = found.get("role", "").lower() in FRAME_ROLES or (tag not in ("html", "body", "article", "main") and bool(FRAME_NAMES.search(found.get("class", "")) or FRAME_NAMES.search(found.get("id", ""))))
+        if frame or named:
+            self.frames += 1
+            self.named[self.frames] = named or tag == "form"
+        self.stack.append((tag, -1 if hidden else self.frames if frame or named else 0))
+        if tag in ("article", "main") and not hidden:
+            self.holders |= {f for _, f in self.stack[:-1] if f > 0}
 
     def read(self, page: str) -> None:
         at, end = 0, len(page)
@@ -124,20 +148,26 @@ class Blocks:
 def main_text(page: str, share: float = 0.1) -> str:
     """The text of the content paths' blocks, joined by empty lines.  share: threshold, of the best path's score."""
     seen = Blocks(page)
-    blocks = [b for b in seen.out if not b["frame"] and (b["article"] or not seen.articles)]
-    if not blocks:
-        return ""
-    paths: dict[str, list[float]] = {}
-    for b in blocks:
-        own = paths.setdefault(b["path"], [0, 0, 0, 0])
+    paths: dict[tuple[str, bool], list[float]] = {}
+    for b in seen.out:
+        own = paths.setdefault((b["path"], b["frame"]), [0, 0, 0, 0])
         for i, x in enumerate((len(b["text"]), b["tags"], b["punctuation"], b["linked"])):
             own[i] += x
-    ratio = [n / t for n, t, _, _ in paths.values()]
-    smooth = [sum(r := ratio[max(0, i - 1) : i + 2]) / len(r) for i in range(len(ratio))]
-    score = {k: s * (1 + p / max(n, 1) * 20) * (1 - a / max(n, 1)) for (k, (n, _, p, a)), s in zip(paths.items(), smooth, strict=True)}
-    # Below an article all but link lists are content; elsewhere the page's best path sets the threshold.
-    least = 0.0 if seen.articles else share * max(score.values())
-    return "\n\n".join(b["text"] for b in blocks if score[b["path"]] > least or (seen.articles and b["linked"] < len(b["text"])))
+    best, score = 0.0, {}
+    near: dict[tuple[bool, bool], list[tuple[str, bool]]] = {}  # neighbours are of one kind: a frame doesn't lift the text beside it
+    inside = {(b["path"], b["frame"]): b["article"] for b in seen.out}
+    for k in paths:
+        near.setdefault((k[1], inside[k]), []).append(k)
+    for (frame, article), keys in near.items():
+        ratio = [min(LONG, paths[k][0] / paths[k][1]) for k in keys]
+        weight = (IN_FRAME if frame else 1) * (OUTSIDE if seen.articles and not article else 1)
+        for i, k in enumerate(keys):
+            n, _, p, a = paths[k]
+            smooth = sum(r := ratio[max(0, i - 1) : i + 2]) / len(r)
+            own = weight * math.sqrt(ratio[i] * smooth) * (1 + min(DENSE, p / n) * 20) * (1 - a / n)
+            best = best if frame else max(best, own)
+            score[k] = own * (TAGS.get(k[0].rsplit("/", 1)[-1], 1) if weight == 1 else 1)
+    return "\n\n".join(b["text"] for b in seen.out if best and score[b["path"], b["frame"]] > share * best)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

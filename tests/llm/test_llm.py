@@ -294,3 +294,18 @@ def test_null_ids(spark):
     assert minhash.near_duplicates(odd).where("kept").count() == 3
     for out in (suffixes.repeated_bytes(odd), phrases.repeated_passages(odd), shards.shard_by_bytes(odd), quality.quality_report(odd), pii.personal_report(odd), secrets.secret_report(odd), pieces.encode_report(odd)):
         assert out.count() == 3
+
+
+def test_scores_decide_below_articles_and_frames_hold_no_article():
+    long = "A sentence of the story, with its commas. " * 8
+    story = f"<h1>Head</h1><p>{long}</p><p>{long}</p>"
+    whole = f"Head\n\n{long.strip()}\n\n{long.strip()}"
+    offer = '<div class="xk7"><span>Buy</span> <span><a href="a">cheap shoes now</a></span> <span>today</span></div>'
+    assert pages.main_text(f"<body><article>{story}{offer}</article></body>") == whole
+    for frame in ('form id="aspnetForm"', 'div class="content-sidebar-wrap"'):
+        tag = frame.split()[0]
+        assert pages.main_text(f"<body><{frame}><nav><a href=a>Menu</a></nav><article>{story}</article><footer>Foot</footer></{tag}></body>") == whole
+        assert pages.main_text(f"<body><{frame}><nav><a href=a>Menu</a></nav><div>{story}</div><footer>Foot</footer></{tag}></body>") == whole
+    assert pages.main_text("<body><nav>Menu</nav><footer>Foot</footer></body>") == ""
+    assert pages.main_text(f"<body><article><h1>FAQ</h1><p>{long * 60}</p><ul><li>2 eggs<li>salt</ul></article></body>") == f"FAQ\n\n{(long * 60).strip()}\n\n2 eggs\n\nsalt"
+    assert pages.main_text(f"<body><article>{story}<div class='comments'>Nice.</div></article><div class='sidebar'>Other.</div></body>") == whole
