@@ -63,6 +63,17 @@ def windows(query: str, width: int = 6) -> list[str]:
     return list(dict.fromkeys(plain[i : i + width] for i in range(len(plain) - width + 1)))
 
 
+def overlaps(df: DataFrame, queries: list[str], text: str, keys: list[str], width: int = 6) -> DataFrame:
+    """(query, keys, score): how many distinct windows of a query a document has, white space aside; documents with none are left out.
+
+    For queries that no document holds whole.  Windows of documents are joined with those of the queries by equality.
+    """
+    wanted = df.sparkSession.createDataFrame([(q, w) for q in dict.fromkeys(queries) for w in windows(q, width)], "query string, window string")
+    plain = F.regexp_replace(text, r"(?U)[\s\x1c-\x1f]+", "")
+    own = df.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(f"(?s)(?=(.{{{width}}}))"), F.lit(1)))).alias("window"))
+    return own.join(F.broadcast(wanted), "window").groupBy("query", *keys).agg(F.count("*").alias("score"))
+
+
 def existence(quotes: DataFrame, corpus: DataFrame, quote: str, text: str, keys: list[str], gram: int = 6) -> DataFrame:
     """Share of each quote's grams that the corpus has, by an equality join of hashed grams."""
     # A look-ahead steps through a text once; cutting out each gram by its place would start over each time.

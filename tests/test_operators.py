@@ -53,6 +53,23 @@ def test_progress_stream_equals_the_batch(spark, tmp_path):
     assert rows(progress.run_once(stream, "units_seen", str(tmp_path / "cp"))) == [("i", 0, 1), ("j", 2, 3)]
 
 
+def test_done_units_are_counted_exactly(spark, tmp_path):
+    log = spark.range(60_000).selectExpr("if(id % 30000 < 20011, 'j', 'i') AS job", "cast(id % 30000 AS string) AS unit", "if(id % 3 = 0, 'running', 'done') AS status")
+    seen = rows(log.where("status = 'done'").groupBy("job").agg(F.countDistinct("unit")))
+    log.repartition(3).write.json(str(tmp_path / "log"))
+    stream = progress.progress(progress.log_stream(spark, str(tmp_path / "log"), log.schema, 1))
+    got = rows(progress.run_once(stream, "units_exact", str(tmp_path / "cp")))
+    assert [r[:2] for r in got] == seen and [r[2] for r in got] == [19_978, 40_022]
+    assert rows(progress.progress(log)) == got
+
+
+def test_overlaps_count_windows_of_each_document(spark):
+    docs = spark.createDataFrame([(1, "4.1 项目需求及总体 设计方案 等"), (2, "总体设计方案"), (3, "别的"), (4, None), (5, "总体设计方案，总体设计方案")], "k int, text string")
+    got = rows(search.overlaps(docs, ["需求及总体设计方案优化", "短"], "text", ["k"]))
+    assert got == [("需求及总体设计方案优化", 1, 4), ("需求及总体设计方案优化", 2, 1), ("需求及总体设计方案优化", 5, 1)]
+    assert search.overlaps(docs, ["短"], "text", ["k"]).isEmpty()
+
+
 def test_entry_imports_and_names_agree():
     import __spark_entry__ as entry
 
