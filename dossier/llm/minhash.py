@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .shared import among, prepare, written
+from .shared import prepare, written
 
 SHINGLE, BANDS, ROWS = 5, 40, 4
 
@@ -196,7 +196,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 1000) -> Da
     # Sets again, of those that are compared at all: in a star, or in a bucket with two members besides the centre.
     wanted = star.select("id").union(star.select("centre")).union(member.where("members > 2 and id <> centre").select("id")).distinct()
     wanted = written(wanted.withColumnRenamed("id", "doc_id"), "wanted")
-    sets = written(among(texts, wanted, "doc_id").join(wanted, "doc_id").mapInArrow(_sets, "id long, shingles array<long>"), "sets").dropDuplicates(["id"])
+    sets = written(texts.join(wanted, "doc_id").mapInArrow(_sets, "id long, shingles array<long>"), "sets").dropDuplicates(["id"])
     pairs = star.join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("s")), "centre").join(sets, "id")
     pairs = pairs.select(F.col("centre").alias("a"), F.col("id").alias("b"), F.size(F.array_intersect("s", "shingles")).alias("both"), (F.size("s") + F.size("shingles")).alias("total"))
     links = written(pairs.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select("a", "b"), "links")

@@ -1,104 +1,271 @@
 """Substring dedup by repeated-phrase automata: remove words of passages that an earlier document has.
 
-Phrases that recur in several documents are found at content anchors (anchors.py).  Where a neighbourhood isn't
-settled by being equal as a whole, its phrases are confirmed and compiled into Aho-Corasick automata, one for
-each shard of documents, which are streamed through it to locate every occurrence; the windows around the
-occurrences are then compared between documents.
+Texts become sequences of word hashes, in slices ordered by document.  One bucket pass (buckets.py) over all windows
+of `length` words confirms what recurs in several documents, and where it comes first: the longest runs of such
+windows, each in its first document only, are the recurring passages.  They are dealt to shards of bounded size.  Of
+each passage, phrases of `phrase` words are compiled into the shard's Aho-Corasick automaton, so near to each other
+that every window holds one (the rarest that are near enough, so that common lines aren't among them).  All documents
+are streamed through each automaton, one shard at a time; where a phrase occurs, the text and the passage are followed
+to both sides, word by word, and a stretch of at least `length` words is an occurrence of the passage.  What a later
+document has of a passage is removed.
+
+An automaton's letters are bytes, two of each word's hash; every occurrence is verified by the words' 64-bit hashes, at
+least `length` of them.  A pass over all documents is made for each shard, and shards grow with what recurs, so a
+larger `shard_words` (about 30 bytes of a worker's memory each) means fewer passes.
 
 Defined results: null texts have no words; texts shorter than a window keep all words; rows with the same doc_id
-are one document; a null doc_id comes after all others.  Extra columns are ignored, and an empty table gives an
-empty result.
+are one document; a null doc_id comes after all others, and rows without one don't make each other lose words.
+Extra columns are ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from itertools import pairwise
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import anchors as A
+from . import buckets as B
 from . import rolling as R
-from .shared import among, prepare, written
+from .shared import prepare, removed, shared_dir, written
 
-LENGTH, GRAM, BLOCK = 50, 10, 7
+LENGTH, PHRASE, SHARD_WORDS, SLICE_WORDS = 50, 10, 8 << 20, 1 << 20
+#: A passage of more words is cut into several, which overlap by a window less a word.
+PASSAGE_WORDS = 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_NAMES = ["row", "doc", "at", "core", "whole"]
+_SLICE = "slice long, low long, words binary, docs binary, sizes binary, key_a binary, key_b binary, windows long"
+_PASSAGE = "doc long, n int, words binary"
+_SPANS = "key_a long, key_b long, spans array<struct<s: int, e: int>>"
+
+
+def _zip(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
+
+
+def _unzip(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
 
 
-def _symbols(texts: pa.Array) -> tuple[R.Ranges, np.ndarray]:
+def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts, and where each text's begin."""
     buf, offsets = R.flat(texts)
     starts, ends, first = R.words(buf, offsets, R.SPACE)
-    return R.Ranges(R.byte_ranges(buf).of(starts, ends, 1)), first
+    return R.byte_ranges(buf).of(starts, ends, 1), first
 
 
-def _batch(rows: np.ndarray, ids: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    text, at, core, whole = found
-    return pa.RecordBatch.from_arrays([pa.array(rows[text]), pa.array(ids[text]), pa.array(at.astype(np.int32)), pa.array(core), pa.array(whole)], _NAMES)
+def _slices(length: int, slice_words: int):
+    """Slices of whole documents in order; one document may have several of its own, but none shares a part of it."""
 
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        done: list[tuple] = []  # whole documents
+        last: list[tuple] = []  # rows of the document that is being read
+        began = True  # it is the first of the partition, so the one before may have rows of it too
+
+        def put(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            if rows:
+                docs, a, b, words = zip(*rows, strict=True)
+                sizes = np.array([len(w) for w in words])
+                every = [_zip(np.concatenate(words)), *(_zip(np.array(x, np.int64)) for x in (docs, sizes, a, b))]
+                columns = [number, docs[0], *every, int((sizes - length + 1).sum())]
+                kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.int64()]
+                names = ["slice", "low", "words", "docs", "sizes", "key_a", "key_b", "windows"]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(columns, kinds, strict=True)], names)
+                number += 1
+
+        def many(rows: list[tuple]) -> bool:
+            return sum(len(r[3]) for r in rows) >= slice_words
 
-def _first(plan: A.Plan):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, texts in R.slices(batch):
-                ranges, first = _symbols(texts)
-                rows, ids = part.column(0).to_numpy(), part.column(1).to_numpy()
-                yield _batch(rows, ids, A.first_ranges(ranges, first, rows, plan))
-
-    return find
-
-
-def occurrences(texts: list[str], lists: list[list[int]], gram: int) -> list[np.ndarray]:
-    """First words of every occurrence, in each text, of the phrases of `gram` words that start at the listed words of any of them."""
-    words = [WORD.findall(t) for t in texts]
-    automaton = ahocorasick.Automaton()
-    for own, ats in zip(words, lists, strict=True):
-        for at in ats:
-            phrase = f" {' '.join(own[at : at + gram])} "
-            automaton.add_word(phrase, len(phrase))
-    if not len(automaton):
-        return [np.zeros(0, np.int64) for _ in texts]
-    automaton.make_automaton()
-    found = []
-    for own in words:
-        line = f" {' '.join(own)} "
-        begins = np.cumsum([0, *(len(w) + 1 for w in own)])  # of the space before each word
-        hits = np.fromiter((end + 1 - size for end, size in automaton.iter(line)), np.int64)
-        found.append(np.unique(np.searchsorted(begins, hits)))
-    return found
-
-
-def _located(plan: A.Plan):
-    """The second pass: shorter ranges around every occurrence of a shard's unsettled phrases."""
-
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                hashes, first = _word_hashes(texts)
+                docs, a, b = (part.column(i).to_pylist() for i in range(3))
+                for i in np.flatnonzero(np.diff(first) >= length).tolist():
+                    if last and last[0][0] != docs[i]:
+                        if began or many(last):
+                            yield from put(done)
+                            yield from put(last)
+                            done = []
+                        else:
+                            done += last
+                        last, began = [], False
+                        if many(done):
+                            yield from put(done)
+                            done = []
+                    elif many(last):
+                        yield from put(done)
+                        yield from put(last)
+                        last, done, began = [], [], True
+                    last.append((docs[i], a[i], b[i], hashes[first[i] : first[i + 1]]))
+        yield from put(done)
+        yield from put(last)  # the next partition may have rows of it too
+
+    return pack
+
+
+class Words:
+    """A slice's words, and its windows with their documents."""
+
+    def __init__(self, row: dict, length: int):
+        self.words, self.docs, sizes = _unzip(row["words"], np.uint64), _unzip(row["docs"]), _unzip(row["sizes"])
+        self.first = np.r_[0, np.cumsum(sizes)]
+        counts = sizes - length + 1
+        self.at = np.repeat(self.first[:-1], counts) + R.runs(counts)
+        self.doc = np.repeat(self.docs, counts)
+        self.entries = B.Entries(R.Ranges(self.words).of(self.at, self.at + length, 2), 64)
+
+
+def _sent(length: int, range_bits: int):
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in R.slices(batch):
-                ranges, first = _symbols(texts)
-                rows, ids = part.column(0).to_numpy(), part.column(1).to_numpy()
-                places = occurrences(texts.to_pylist(), part.column(3).to_pylist(), plan.gram)
-                text = np.repeat(np.arange(len(rows)), [len(p) for p in places])
-                at = np.concatenate(places) if places else np.zeros(0, np.int64)
-                yield _batch(rows, ids, A.finer_ranges(ranges, first, rows, text, at, plan.span, plan.block, plan))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                own = Words(row, length)
+                docs = own.doc[own.entries.order]
+                ends = own.entries.first + own.entries.counts - 1
+                yield from own.entries.sent(row["slice"], row["low"], docs[own.entries.first] != docs[ends], range_bits)
 
-    return find
+    return send
 
 
-def _finer(plan: A.Plan):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passages(length: int):
+    """Runs of windows that recur, in their first document."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in R.slices(batch):
-                ranges, first = _symbols(texts)
-                rows, ids, lists = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(3)
-                text = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy(zero_copy_only=False))
-                yield _batch(rows, ids, A.finer_ranges(ranges, first, rows, text, lists.flatten().to_numpy().astype(np.int64), plan.block, 1, plan))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                own = Words(row, length)
+                firsts = own.doc[own.entries.order][own.entries.first]
+                first = own.entries.of_places(B.read_bits(row["bits"])) & (own.doc == own.entries.of_places(firsts))
+                at = np.flatnonzero(first)
+                text = np.searchsorted(own.first, own.at[at], "right")
+                new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(text) != 0)]) if len(at) else at
+                out = []
+                for a, b in pairwise(np.r_[new, len(at)].tolist()):
+                    start, end = int(own.at[at[a]]), int(own.at[at[b - 1]]) + length
+                    for s in range(start, max(start + 1, end - length + 1), PASSAGE_WORDS - length + 1):
+                        e = min(end, s + PASSAGE_WORDS)
+                        out.append((int(own.doc[at[a]]), e - s, _zip(own.words[s:e])))
+                columns = list(zip(*out, strict=True)) if out else [()] * 3
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc", "n", "words"])
 
-    return find
+    return cut
+
+
+def _letters(words: np.ndarray) -> str:
+    """Two letters for each word."""
+    return (words >> R.U64(48)).astype("<u2").tobytes().decode("latin-1")
+
+
+class Shard:
+    """An automaton of phrases, and the passages that they come from."""
+
+    def __init__(self, docs: np.ndarray, sizes: np.ndarray, words: np.ndarray, length: int, phrase: int):
+        self.docs, self.words, self.length, self.phrase = docs, words, length, phrase
+        self.first = np.r_[0, np.cumsum(sizes)]
+        self.places: dict[str, list[tuple[int, int]]] = {}  # of each phrase: passage, and place in all words
+        letters = _letters(words)
+        for p, at in self.chosen():
+            self.places.setdefault(letters[2 * at : 2 * (at + phrase)], []).append((p, at))
+        self.automaton = ahocorasick.Automaton()
+        for key, places in self.places.items():
+            self.automaton.add_word(key, places)
+        if len(self.automaton):
+            self.automaton.make_automaton()
+
+    def chosen(self) -> Iterator[tuple[int, int]]:
+        """Places of phrases, one in every window: of those near enough to the one before the rarest, and then the farthest."""
+        if not len(self.words):
+            return
+        grams = R.Ranges(self.words).of(np.arange(len(self.words) - self.phrase + 1), np.arange(self.phrase, len(self.words) + 1), 6)
+        _, which, counts = np.unique(grams, return_inverse=True, return_counts=True)
+        common = counts[which]
+        gap = self.length - self.phrase + 1
+        for p, (a, b) in enumerate(zip(self.first[:-1].tolist(), self.first[1:].tolist(), strict=True)):
+            at = a - 1
+            while at < b - self.length:
+                near = common[at + 1 : min(at + gap, b - self.phrase) + 1]
+                at += len(near) - int(np.argmin(near[::-1]))
+                yield p, at
+
+    def occurrences(self, words: np.ndarray) -> list[tuple[int, int, int]]:
+        """(passage, from, to) of each stretch of at least `length` words that a text shares with a passage."""
+        found: list[tuple[int, int, int]] = []
+        seen: dict[tuple[int, int], int] = {}  # of each passage and shift, how far the text has been followed
+        if not len(self.automaton):
+            return found
+        for end, places in self.automaton.iter(_letters(words)):
+            if not end & 1:  # letters that aren't those of whole words
+                continue
+            at = (end + 1) // 2 - self.phrase
+            for p, place in places:
+                if seen.get((p, place - at), -1) > at:
+                    continue
+                start, stop = self.follow(words, at, place, int(self.first[p]), int(self.first[p + 1]))
+                seen[p, place - at] = stop
+                if stop - start >= self.length:
+                    found.append((p, start, stop))
+        return found
+
+    def follow(self, words: np.ndarray, at: int, place: int, low: int, high: int) -> tuple[int, int]:
+        """The stretch around a place of a text that equals the passage around its own place."""
+        step, start, stop = 64, at, at
+        while True:
+            n = min(step, len(words) - stop, high - (place + stop - at))
+            off = np.flatnonzero(words[stop : stop + n] != self.words[place + stop - at : place + stop - at + n])
+            stop += int(off[0]) if len(off) else n
+            if len(off) or n < step:
+                break
+            step *= 2
+        step = 64
+        while True:
+            n = min(step, start, place + start - at - low)
+            off = np.flatnonzero(words[start - n : start] != self.words[place + start - at - n : place + start - at])
+            start -= n - 1 - int(off[-1]) if len(off) else n
+            if len(off) or n < step:
+                return start, stop
+            step *= 2
+
+
+_LOADED: dict[str, Shard] = {}
+
+
+def _streamed(name: str, shared, length: int, phrase: int):
+    """Spans that documents have of passages of earlier ones, of one shard; a worker builds its automaton once."""
+
+    def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if name not in _LOADED:
+                _LOADED.clear()
+                docs, sizes, words = shared.value
+                _LOADED[name] = Shard(docs, sizes, words, length, phrase)
+            shard = _LOADED[name]
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                words, docs, a, b = _unzip(row["words"], np.uint64), *(_unzip(row[c]).tolist() for c in ("docs", "key_a", "key_b"))
+                first = np.r_[0, np.cumsum(_unzip(row["sizes"]))].tolist()
+                out = []
+                for j, doc in enumerate(docs):
+                    spans = {(s, e) for p, s, e in shard.occurrences(words[first[j] : first[j + 1]]) if shard.docs[p] < doc}
+                    if spans:
+                        out.append((a[j], b[j], [{"s": s, "e": e} for s, e in sorted(spans)]))
+                columns = list(zip(*out, strict=True)) if out else [()] * 3
+                kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key_a", "key_b", "spans"])
+
+    return stream
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,7 +277,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans.is_valid:
                 pairs = spans.values
                 s, e = R.covered(pairs.field(0).to_numpy().astype(np.int64), pairs.field(1).to_numpy().astype(np.int64))
-                ranges = list(zip(np.maximum(s, 0).tolist(), np.minimum(e, n).tolist(), strict=True))
+                ranges = list(zip(s.tolist(), e.tolist(), strict=True))
                 for a, b in reversed(ranges):
                     del words[a:b]
             out.append((doc, n, n - len(words), hashlib.sha256(" ".join(words).encode()).hexdigest(), [a for a, _ in ranges], [b for _, b in ranges]))
@@ -120,21 +287,39 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
 
-def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
+def confirmed(slices: DataFrame, length: int, range_keys: int = B.RANGE_KEYS) -> DataFrame:
+    """Recurring passages, each from its first document: doc, n and words (their hashes)."""
+    total = slices.agg(F.coalesce(F.sum("windows"), F.lit(0))).first()[0]
+    sent = slices.mapInArrow(_sent(length, B.range_bits(total, range_keys)), B.SENT)
+    return slices.join(B.decided(sent, B.first_of_several), "slice").mapInArrow(_passages(length), _PASSAGE)
+
+
+def repeated_passages(docs: DataFrame, length: int = LENGTH, phrase: int = PHRASE, shard_words: int = SHARD_WORDS, slice_words: int = SLICE_WORDS) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256, and the removed word ranges as two lists."""
-    prepare(docs.sparkSession)
-    plan = A.Plan(length, gram, block)
+    spark = docs.sparkSession
+    prepare(spark)
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("doc")
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), order, "text", F.col("doc_id").cast("long").alias("doc_id"))
-    first = written(texts.select("row", "doc", "text").mapInArrow(_first(plan), A.RANGE), "anchors")
-    whole, open_ = A.narrow(first, True, "first")
-    open_ = written(A.by_row(open_), "second-open")
-    second = among(texts.select("row", "doc", "text"), open_, "row").join(open_, "row")
-    second = written(second.mapInArrow(_located(plan), A.RANGE), "blocks")
-    blocks, open_ = A.narrow(second, True, "second")
-    open_ = written(A.by_row(open_), "third-open")
-    third = among(texts.select("row", "doc", "text"), open_, "row").join(open_, "row")
-    third = written(third.mapInArrow(_finer(plan), A.RANGE), "windows")
-    spans = A.spans_of([(whole, plan.span), (blocks, block), (A.settled(third, True), 1)], length)
-    out = texts.join(spans, "row", "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_from array<long>, removed_to array<long>")
+    keys = (F.xxhash64("doc_id", "text").alias("key_a"), F.xxhash64(F.lit("b"), "text", "doc_id").alias("key_b"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(order, *keys, "text", "doc_id")
+    ranged = texts.select("doc", "key_a", "key_b", "text").repartitionByRange("doc", "key_a").sortWithinPartitions("doc")
+    slices = written(ranged.mapInArrow(_slices(length, slice_words), _SLICE), "word-slices")
+    passages = written(confirmed(slices, length), "passages")
+    total = passages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shards = -(-total // shard_words)
+    dealt = passages.withColumn("shard", F.pmod(F.xxhash64("doc", "words"), F.lit(max(1, shards))))
+    path = f"{shared_dir(spark)}/dossier-spans-{uuid.uuid4().hex}"
+    spark.createDataFrame([], _SPANS).write.parquet(path)
+    for k in range(shards):
+        rows = dealt.where(F.col("shard") == k).select("doc", "n", "words").toArrow()  # about shard_words words
+        words = [_unzip(x.as_py(), np.uint64) for x in rows.column("words")]
+        shared = spark.sparkContext.broadcast((rows.column("doc").to_numpy(), rows.column("n").to_numpy().astype(np.int64), np.concatenate(words) if words else np.zeros(0, np.uint64)))
+        slices.mapInArrow(_streamed(f"{path}/{k}", shared, length, phrase), _SPANS).write.mode("append").parquet(path)
+        shared.destroy()
+    spans = spark.read.schema(_SPANS).parquet(path)
+    spans.shared_path = path
+    own = spans.groupBy("key_a", "key_b").agg(F.flatten(F.collect_set("spans")).alias("spans"))
+    out = texts.join(own, ["key_a", "key_b"], "left").select("doc_id", "text", "spans")
+    out = written(out.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept_sha256 string, removed_from array<long>, removed_to array<long>"), "repeated-passages")
+    for table in (slices, passages, spans):
+        removed(table)
+    return out

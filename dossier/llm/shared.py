@@ -12,9 +12,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; one of our own only where none is set (a single machine, as in tests)."""
+    """spark.checkpoint.dir of the session; one of our own only where none is set and all runs on this machine, as in tests."""
     there = spark.conf.get("spark.checkpoint.dir", None)
     if not there:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         there = "file://" + tempfile.mkdtemp(prefix="spark-dossier-")
         spark.conf.set("spark.checkpoint.dir", there)
     return there.rstrip("/")
@@ -24,7 +26,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage, and outlives the executors that made it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dossier-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.shared_path = path
     return table
@@ -37,9 +39,8 @@ def removed(table: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def prepare(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches small enough for whole texts, and this package on executors that haven't installed it."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def prepare(spark: SparkSession) -> None:
+    """This package on executors that haven't installed it."""
     context, top = spark.sparkContext, Path(__file__).resolve().parents[1]
     if getattr(context, "_dossier_shipped", False):
         return
@@ -49,13 +50,3 @@ def prepare(spark: SparkSession, rows: int = 1000) -> None:
             z.write(p, p.relative_to(top.parent))
     context.addPyFile(str(name))
     context._dossier_shipped = True
-
-
-#: Keys that may be broadcast at most (16 MB or so as a hash table); with more, tables are joined by shuffle alone.
-BROADCAST_KEYS = 1_000_000
-
-
-def among(df: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
-    """df with rows that can't be joined with `wanted` left out before they are shuffled, where its keys are few enough."""
-    keys = wanted.select(key).distinct()
-    return df.join(F.broadcast(keys), key, "left_semi") if keys.count() <= BROADCAST_KEYS else df

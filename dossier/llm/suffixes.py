@@ -1,11 +1,19 @@
 """Suffix-array dedup by depth-limited radix sort: remove every byte of a window that occurs more than once.
 
-Suffixes are ordered through `length` bytes only, by the most-significant-digit passes of anchors.py; suffixes
-that are alone in a bucket leave at once, and equal groups after the last pass are the repeated windows.
+All suffixes of all texts that are at least `length` bytes long are ordered through their first `length` bytes only,
+most significant digit first.  The first pass buckets every suffix by its first digit (bytes 0 to the first depth),
+and suffixes alone in their bucket leave; the next digit goes on from there with those that are left, and so on to
+the last depth.  Equal groups of the last pass are exactly the repeated windows.  A digit is hashed, so buckets are in
+the order of hashes; what is wanted of the order are its equal groups alone.  Passes before the last have as few
+bits as suffice to let most single suffixes leave, and the last one has 64.
+
+Buckets are those of buckets.py: nothing but bucket numbers is shuffled, a slice sends each of its buckets once,
+and a bucket that holds a third of all suffixes is one entry for each slice.
 
 Defined results: null texts are empty; texts shorter than a window keep all bytes; rows with the same doc_id are
 documents of their own, so equal rows remove each other; a null doc_id is a document like any other.  Extra
-columns are ignored, and an empty table gives an empty result.
+columns are ignored, and an empty table gives an empty result.  Two different windows are taken for one with a
+chance of 2**-64 a pair.
 """
 
 from __future__ import annotations
@@ -18,84 +26,118 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import anchors as A
+from . import buckets as B
 from . import rolling as R
-from .shared import among, prepare, written
-
-LENGTH, GRAM, BLOCK = 200, 32, 13
-_NAMES = ["row", "doc", "at", "core", "whole"]
+from .shared import prepare, removed, written
 
+LENGTH, DEPTHS = 200, (64, 200)
+#: Bits of a bucket number in passes before the last, beyond those that number all suffixes: one in 2**SPARE stays by chance.
+SPARE = 5
+_SLICE = "slice long, ids array<long>, sizes array<long>, data binary, suffixes long"
+_RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_from array<long>, removed_to array<long>"
 
-def _batch(rows: np.ndarray, found: tuple[np.ndarray, ...]) -> pa.RecordBatch:
-    text, at, core, whole = found
-    return pa.RecordBatch.from_arrays([pa.array(rows[text]), pa.nulls(len(at), pa.int64()), pa.array(at.astype(np.int32)), pa.array(core), pa.array(whole)], _NAMES)
 
+def _slices(length: int, slice_bytes: int):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-def _first(plan: A.Plan):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for part, texts in R.slices(batch):
+            for part, texts in R.slices(batch, most=slice_bytes):
                 buf, offsets = R.flat(texts)
-                rows = part.column(0).to_numpy()
-                yield _batch(rows, A.first_ranges(R.byte_ranges(buf), offsets, rows, plan))
+                sizes = np.diff(offsets)
+                kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64()]
+                row = [n, part.column(0).to_pylist(), sizes, buf.tobytes(), int(np.maximum(sizes - length + 1, 0).sum())]
+                yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["slice", "ids", "sizes", "data", "suffixes"])
+                n += 1
+
+    return pack
+
+
+class Suffixes:
+    """A slice's suffixes of `length` bytes or more, and the passes that they go through."""
 
-    return find
+    def __init__(self, row: dict, length: int, depths: tuple[int, ...], bits: tuple[int, ...]):
+        self.data = np.frombuffer(row["data"], np.uint8)
+        self.offsets = np.r_[0, np.cumsum(np.array(row["sizes"], np.int64))]
+        self.hashes = R.byte_ranges(self.data)
+        self.depths, self.bits = depths, bits
+        counts = np.maximum(np.diff(self.offsets) - length + 1, 0)
+        self.at = np.repeat(self.offsets[:-1], counts) + R.runs(counts)
 
+    def entries(self, k: int) -> B.Entries:
+        """Buckets of pass k over the suffixes that are left."""
+        return B.Entries(self.hashes.of(self.at, self.at + self.depths[k], 3 + k), self.bits[k])
 
-def _finer(plan: A.Plan, span: int, step: int):
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def keep(self, k: int, bits: list[dict] | None) -> None:
+        """Only suffixes that pass k didn't find alone."""
+        self.at = self.at[self.entries(k).of_places(B.read_bits(bits))] if bits else self.at[:0]
+
+
+def _sent(k: int, length: int, depths: tuple[int, ...], bits: tuple[int, ...], range_bits: int):
+    """The buckets of pass k, of the suffixes that passes before it left."""
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, texts in R.slices(batch):
-                buf, offsets = R.flat(texts)
-                rows, lists = part.column(0).to_numpy(), part.column(2)
-                text = np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy(zero_copy_only=False))
-                yield _batch(rows, A.finer_ranges(R.byte_ranges(buf), offsets, rows, text, lists.flatten().to_numpy().astype(np.int64), span, step, plan))
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                own = Suffixes(row, length, depths, bits)
+                for before in range(k):
+                    own.keep(before, row[f"bits{before}"])
+                found = own.entries(k)
+                yield from found.sent(row["slice"], row["slice"], found.counts > 1, range_bits)
 
-    return find
+    return send
 
 
-def _cut(length: int):
+def _cut(length: int, depths: tuple[int, ...], bits: tuple[int, ...]):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            texts = R.as_texts(batch.column(1))
-            for doc, text, spans in zip(batch.column(0).to_pylist(), texts, batch.column(2), strict=True):
-                data = text.as_buffer() if text.is_valid else b""
-                data = memoryview(data) if data is not None else memoryview(b"")
-                if spans.is_valid:
-                    pairs = spans.values
-                    s, e = R.covered(pairs.field(0).to_numpy().astype(np.int64), pairs.field(1).to_numpy().astype(np.int64))
-                    s, e = np.maximum(s, 0), np.minimum(e, len(data))
-                else:
-                    s = e = np.zeros(0, np.int64)
-                digest, at = hashlib.sha256(), 0
-                for a, b in zip(s.tolist(), e.tolist(), strict=True):
-                    digest.update(data[at:a])
-                    at = b
-                digest.update(data[at:])
-                out.append((doc, len(data), int((e - s).sum()), len(s), digest.hexdigest(), s.tolist(), e.tolist()))
-            columns = list(zip(*out, strict=True)) if out else [()] * 7
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_from", "removed_to"]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
+                own = Suffixes(row, length, depths, bits)
+                for k in range(len(depths)):
+                    own.keep(k, row[f"bits{k}"])
+                text = np.searchsorted(own.offsets, own.at, "right") - 1
+                s, e = R.covered(own.at + text, own.at + text + length)  # a place between texts keeps their ranges apart
+                text = np.searchsorted(own.offsets + np.arange(len(own.offsets)), s, "right") - 1
+                s, e, cuts = s - text, e - text, np.searchsorted(text, np.arange(len(own.offsets)))
+                out: list[tuple] = []
+                for doc, low, high, a, b in zip(row["ids"], own.offsets[:-1].tolist(), own.offsets[1:].tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                    digest, at = hashlib.sha256(), low
+                    for x, y in zip(s[a:b].tolist(), e[a:b].tolist(), strict=True):
+                        digest.update(own.data[at:x])
+                        at = y
+                    digest.update(own.data[at:high])
+                    out.append((doc, high - low, int((e[a:b] - s[a:b]).sum()), b - a, digest.hexdigest(), s[a:b] - low, e[a:b] - low))
+                columns = list(zip(*out, strict=True)) if out else [()] * 7
+                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed_from", "removed_to"]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     return cut
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed byte ranges as two lists."""
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, depths: tuple[int, ...] = DEPTHS, slice_bytes: int = B.SLICE_BYTES, range_keys: int = B.RANGE_KEYS) -> DataFrame:
+    """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed byte ranges as two lists.
+
+    depths: bytes through which suffixes are ordered after each pass; the last one is `length`.
+    """
+    if depths[-1] != length or list(depths) != sorted(set(depths)):
+        raise ValueError("depths have to rise to the length of a window")
     prepare(docs.sparkSession)
-    plan = A.Plan(length, gram, block)
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("row"), "text", F.col("doc_id").cast("long").alias("doc_id"))
-    first = written(texts.select("row", "text").mapInArrow(_first(plan), A.RANGE), "anchors")
-    whole, open_ = A.narrow(first, False, "first")
-    open_ = written(A.by_row(open_), "second-open")
-    second = among(texts.select("row", "text"), open_, "row").join(open_, "row")
-    second = written(second.mapInArrow(_finer(plan, plan.span, block), A.RANGE), "blocks")
-    blocks, open_ = A.narrow(second, False, "second")
-    open_ = written(A.by_row(open_), "third-open")
-    third = among(texts.select("row", "text"), open_, "row").join(open_, "row")
-    third = written(third.mapInArrow(_finer(plan, block, 1), A.RANGE), "windows")
-    spans = A.spans_of([(whole, plan.span), (blocks, block), (A.settled(third, False), 1)], length)
-    out = texts.join(spans, "row", "left").select("doc_id", "text", "spans")
-    return out.mapInArrow(_cut(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_from array<long>, removed_to array<long>")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    slices = written(texts.mapInArrow(_slices(length, slice_bytes), _SLICE), "slices")
+    total = slices.agg(F.coalesce(F.sum("suffixes"), F.lit(0))).first()[0]
+    few = min(64, int(total).bit_length() + SPARE)
+    bits = (*[few] * (len(depths) - 1), 64)
+    known = slices.drop("suffixes")
+    done = []
+    for k in range(len(depths)):
+        sent = known.mapInArrow(_sent(k, length, depths, bits, min(few, B.range_bits(total, range_keys))), B.SENT)
+        done.append(written(B.decided(sent, B.repeated), f"bits-{k}"))
+        known = known.join(done[-1].withColumnRenamed("bits", f"bits{k}"), "slice", "left")
+    out = written(known.mapInArrow(_cut(length, depths, bits), _RESULT), "repeated-bytes")
+    for table in (slices, *done):
+        removed(table)
+    return out
