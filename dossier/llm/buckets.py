@@ -19,11 +19,19 @@ from pyspark.sql import functions as F
 
 from . import rolling as R
 
-SLICE_BYTES, RANGE_KEYS = 4 << 20, 1 << 20
+SLICE_BYTES, RANGE_KEYS = 2 << 20, 1 << 20
 SENT = "range long, slice long, rank long, n int, entries binary"
 BITS = "slice long, range long, n int, bits binary"
 
 
+def zipped(x: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+
+
+def unzipped(data: bytes, kind: type = np.int64) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+
+
 def packed(values: np.ndarray) -> bytes:
     """Sorted integers as compressed gaps, byte planes apart."""
     gaps = np.diff(values, prepend=R.U64(0))

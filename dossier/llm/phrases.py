@@ -29,7 +29,6 @@ from itertools import pairwise
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +45,6 @@ _PASSAGE = "doc long, n int, words binary"
 _SPANS = "key_a long, key_b long, spans array<struct<s: int, e: int>>"
 
 
-def _zip(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(x.tobytes())
-
-
-def _unzip(data: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
 def _word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of texts, and where each text's begin."""
     buf, offsets = R.flat(texts)
@@ -77,7 +68,7 @@ def _slices(length: int, slice_words: int):
             if rows:
                 docs, a, b, words = zip(*rows, strict=True)
                 sizes = np.array([len(w) for w in words])
-                every = [_zip(np.concatenate(words)), *(_zip(np.array(x, np.int64)) for x in (docs, sizes, a, b))]
+                every = [B.zipped(np.concatenate(words)), *(B.zipped(np.array(x, np.int64)) for x in (docs, sizes, a, b))]
                 columns = [number, docs[0], *every, int((sizes - length + 1).sum())]
                 kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5, pa.int64()]
                 names = ["slice", "low", "words", "docs", "sizes", "key_a", "key_b", "windows"]
@@ -118,7 +109,7 @@ class Words:
     """A slice's words, and its windows with their documents."""
 
     def __init__(self, row: dict, length: int):
-        self.words, self.docs, sizes = _unzip(row["words"], np.uint64), _unzip(row["docs"]), _unzip(row["sizes"])
+        self.words, self.docs, sizes = B.unzipped(row["words"], np.uint64), B.unzipped(row["docs"]), B.unzipped(row["sizes"])
         self.first = np.r_[0, np.cumsum(sizes)]
         counts = sizes - length + 1
         self.at = np.repeat(self.first[:-1], counts) + R.runs(counts)
@@ -157,7 +148,7 @@ def _passages(length: int):
                     start, end = int(own.at[at[a]]), int(own.at[at[b - 1]]) + length
                     for s in range(start, max(start + 1, end - length + 1), PASSAGE_WORDS - length + 1):
                         e = min(end, s + PASSAGE_WORDS)
-                        out.append((int(own.doc[at[a]]), e - s, _zip(own.words[s:e])))
+                        out.append((int(own.doc[at[a]]), e - s, B.zipped(own.words[s:e])))
                 columns = list(zip(*out, strict=True)) if out else [()] * 3
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], ["doc", "n", "words"])
 
@@ -254,8 +245,8 @@ def _streamed(name: str, shared, length: int, phrase: int):
             shard = _LOADED[name]
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
-                words, docs, a, b = _unzip(row["words"], np.uint64), *(_unzip(row[c]).tolist() for c in ("docs", "key_a", "key_b"))
-                first = np.r_[0, np.cumsum(_unzip(row["sizes"]))].tolist()
+                words, docs, a, b = B.unzipped(row["words"], np.uint64), *(B.unzipped(row[c]).tolist() for c in ("docs", "key_a", "key_b"))
+                first = np.r_[0, np.cumsum(B.unzipped(row["sizes"]))].tolist()
                 out = []
                 for j, doc in enumerate(docs):
                     spans = {(s, e) for p, s, e in shard.occurrences(words[first[j] : first[j + 1]]) if shard.docs[p] < doc}
@@ -311,7 +302,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, phrase: int = PHRAS
     spark.createDataFrame([], _SPANS).write.parquet(path)
     for k in range(shards):
         rows = dealt.where(F.col("shard") == k).select("doc", "n", "words").toArrow()  # about shard_words words
-        words = [_unzip(x.as_py(), np.uint64) for x in rows.column("words")]
+        words = [B.unzipped(x.as_py(), np.uint64) for x in rows.column("words")]
         shared = spark.sparkContext.broadcast((rows.column("doc").to_numpy(), rows.column("n").to_numpy().astype(np.int64), np.concatenate(words) if words else np.zeros(0, np.uint64)))
         slices.mapInArrow(_streamed(f"{path}/{k}", shared, length, phrase), _SPANS).write.mode("append").parquet(path)
         shared.destroy()

@@ -22,20 +22,41 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, and outlives the executors that made it."""
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """df as a Parquet table in the shared folder: cuts lineage, and outlives the executors that made it.
+
+    What was shuffled for it is deleted as soon as it has been written.  by: rows are bucketed by this column, as they
+    come, so that joins by it don't move them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/dossier-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table.shared_path = path
-    return table
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        writer = df.write.option("compression", "zstd")
+        if by:
+            table = "dossier_" + uuid.uuid4().hex
+            writer.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), by).option("path", path).format("parquet").saveAsTable(table)
+            out = spark.table(table)
+            out.shared_table = table
+        else:
+            writer.parquet(path)
+            out = spark.read.schema(df.schema).parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out.shared_path = path
+    return out
 
 
 def removed(table: DataFrame) -> None:
     """Deletes a written table that nothing reads any more: what came of it has been written itself."""
     spark = table.sparkSession
     path = spark._jvm.org.apache.hadoop.fs.Path(table.shared_path)
+    if hasattr(table, "shared_table"):
+        spark.sql(f"DROP TABLE {table.shared_table}")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 

@@ -47,7 +47,7 @@ def _slices(length: int, slice_bytes: int):
                 buf, offsets = R.flat(texts)
                 sizes = np.diff(offsets)
                 kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int64()]
-                row = [n, part.column(0).to_pylist(), sizes, buf.tobytes(), int(np.maximum(sizes - length + 1, 0).sum())]
+                row = [n, part.column(0).to_pylist(), sizes, B.zipped(buf), int(np.maximum(sizes - length + 1, 0).sum())]
                 yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], ["slice", "ids", "sizes", "data", "suffixes"])
                 n += 1
 
@@ -58,7 +58,7 @@ class Suffixes:
     """A slice's suffixes of `length` bytes or more, and the passes that they go through."""
 
     def __init__(self, row: dict, length: int, depths: tuple[int, ...], bits: tuple[int, ...]):
-        self.data = np.frombuffer(row["data"], np.uint8)
+        self.data = B.unzipped(row["data"], np.uint8)
         self.offsets = np.r_[0, np.cumsum(np.array(row["sizes"], np.int64))]
         self.hashes = R.byte_ranges(self.data)
         self.depths, self.bits = depths, bits
@@ -127,7 +127,7 @@ def repeated_bytes(docs: DataFrame, length: int = LENGTH, depths: tuple[int, ...
         raise ValueError("depths have to rise to the length of a window")
     prepare(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    slices = written(texts.mapInArrow(_slices(length, slice_bytes), _SLICE), "slices")
+    slices = written(texts.mapInArrow(_slices(length, slice_bytes), _SLICE), "slices", by="slice")
     total = slices.agg(F.coalesce(F.sum("suffixes"), F.lit(0))).first()[0]
     few = min(64, int(total).bit_length() + SPARE)
     bits = (*[few] * (len(depths) - 1), 64)
