@@ -20,12 +20,12 @@ from pyspark.sql import functions as F
 from . import rolling as R
 
 SLICE_BYTES, RANGE_KEYS = 2 << 20, 1 << 20
-SENT = "range long, slice long, rank long, n int, entries binary"
+SENT = "range long, slice long, rank long, n int, entries binary, flags binary"
 BITS = "slice long, range long, n int, bits binary"
 
 
 def zipped(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(x).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
 
 
 def unzipped(data: bytes, kind: type = np.int64) -> np.ndarray:
@@ -84,10 +84,10 @@ class Entries:
         names = np.unique(ranges)
         cuts = np.r_[np.searchsorted(ranges, names), len(ranges)].tolist()
         rest = self.values & R.U64((1 << (self.bits - range_bits)) - 1)
-        rows = [(int(r), slice_, rank, b - a, packed(rest[a:b]) + np.packbits(flags[a:b]).tobytes()) for r, a, b in zip(names.tolist(), cuts[:-1], cuts[1:], strict=True)]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["range", "slice", "rank", "n", "entries"])
+        rows = [(int(r), slice_, rank, b - a, packed(rest[a:b]), zipped(np.packbits(flags[a:b]))) for r, a, b in zip(names.tolist(), cuts[:-1], cuts[1:], strict=True)]
+        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["range", "slice", "rank", "n", "entries", "flags"])
 
 
 def range_bits(keys: int, most: int = RANGE_KEYS) -> int:
@@ -102,11 +102,8 @@ def decided(sent: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarra
     """
 
     def merge(rows: list[dict]) -> pa.RecordBatch:
-        keys, flags = [], []
-        for r in rows:
-            tail = (r["n"] + 7) // 8
-            keys.append(unpacked(r["entries"][: len(r["entries"]) - tail], r["n"]))
-            flags.append(np.unpackbits(np.frombuffer(r["entries"], np.uint8, tail, len(r["entries"]) - tail))[: r["n"]].astype(bool))
+        keys = [unpacked(r["entries"], r["n"]) for r in rows]
+        flags = [np.unpackbits(unzipped(r["flags"], np.uint8), count=r["n"]).astype(bool) for r in rows]
         sizes = np.array([r["n"] for r in rows])
         every = np.concatenate(keys)
         order = in_order(every, int(every.max(initial=1)).bit_length())
@@ -121,7 +118,8 @@ def decided(sent: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarra
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
-            for row in batch.to_pylist():
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1).to_pylist()[0]
                 if held and held[0]["range"] != row["range"]:
                     yield merge(held)
                     held = []

@@ -9,7 +9,8 @@ are streamed through each automaton, one shard at a time; where a phrase occurs,
 to both sides, word by word, and a stretch of at least `length` words is an occurrence of the passage.  What a later
 document has of a passage is removed.
 
-An automaton's letters are bytes, two of each word's hash; every occurrence is verified by the words' 64-bit hashes, at
+An automaton's letters are bytes, two of each word's hash; stretches of a text in which no phrase begins with its first
+words (by a bitmap of hashes, which has no misses) are passed over.  Every occurrence is verified by the words' 64-bit hashes, at
 least `length` of them.  A pass over all documents is made for each shard, and shards grow with what recurs, so a
 larger `shard_words` (about 30 bytes of a worker's memory each) means fewer passes.
 
@@ -37,6 +38,8 @@ from . import rolling as R
 from .shared import prepare, removed, shared_dir, written
 
 LENGTH, PHRASE, SHARD_WORDS, SLICE_WORDS = 50, 10, 8 << 20, 1 << 20
+#: First words of a phrase, by which texts are looked through for it.
+HEAD = 4
 #: A passage of more words is cut into several, which overlap by a window less a word.
 PASSAGE_WORDS = 1 << 16
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -175,6 +178,15 @@ class Shard:
             self.automaton.add_word(key, places)
         if len(self.automaton):
             self.automaton.make_automaton()
+        self.bits = len(self.places).bit_length() + 8
+        self.begins = np.zeros(1 << self.bits, bool)
+        at = np.array([place for places in self.places.values() for _, place in places], np.int64)
+        if len(at):
+            self.begins[self.head(words, at)] = True
+
+    def head(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Places in the bitmap of the first words of phrases at places."""
+        return (R.Ranges(words).of(at, at + min(HEAD, self.phrase), 4) >> R.U64(64 - self.bits)).astype(np.int64)
 
     def chosen(self) -> Iterator[tuple[int, int]]:
         """Places of phrases, one in every window: of those near enough to the one before the rarest, and then the farthest."""
@@ -191,24 +203,34 @@ class Shard:
                 at += len(near) - int(np.argmin(near[::-1]))
                 yield p, at
 
-    def occurrences(self, words: np.ndarray) -> list[tuple[int, int, int]]:
-        """(passage, from, to) of each stretch of at least `length` words that a text shares with a passage."""
-        found: list[tuple[int, int, int]] = []
-        seen: dict[tuple[int, int], int] = {}  # of each passage and shift, how far the text has been followed
+    def occurrences(self, words: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, passage, from, to) of each stretch of at least `length` words that a text shares with a passage.
+
+        words: of several texts, one after another, which begin at `first` (and end at its last).
+        """
         if not len(self.automaton):
-            return found
-        for end, places in self.automaton.iter(_letters(words)):
-            if not end & 1:  # letters that aren't those of whole words
-                continue
-            at = (end + 1) // 2 - self.phrase
-            for p, place in places:
-                if seen.get((p, place - at), -1) > at:
+            return
+        counts = np.maximum(np.diff(first) - self.phrase + 1, 0)
+        at = np.repeat(first[:-1], counts) + R.runs(counts)
+        at = at[self.begins[self.head(words, at)]]
+        letters = _letters(words)
+        seen: dict[tuple[int, int], int] = {}  # of each passage and shift, how far the text has been followed
+        for s, e in zip(*(x.tolist() for x in R.covered(at, at + self.phrase)), strict=True):
+            for end, places in self.automaton.iter(letters, 2 * s, 2 * e):
+                if not end & 1:  # letters that aren't those of whole words
                     continue
-                start, stop = self.follow(words, at, place, int(self.first[p]), int(self.first[p + 1]))
-                seen[p, place - at] = stop
-                if stop - start >= self.length:
-                    found.append((p, start, stop))
-        return found
+                at = (end + 1) // 2 - self.phrase
+                text = int(np.searchsorted(first, at, "right")) - 1
+                low, high = int(first[text]), int(first[text + 1])
+                if at + self.phrase > high:
+                    continue
+                for p, place in places:
+                    if seen.get((p, place - at), -1) > at:
+                        continue
+                    start, stop = self.follow(words[low:high], at - low, place, int(self.first[p]), int(self.first[p + 1]))
+                    seen[p, place - at] = low + stop
+                    if stop - start >= self.length:
+                        yield text, p, start, stop
 
     def follow(self, words: np.ndarray, at: int, place: int, low: int, high: int) -> tuple[int, int]:
         """The stretch around a place of a text that equals the passage around its own place."""
@@ -246,12 +268,11 @@ def _streamed(name: str, shared, length: int, phrase: int):
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 words, docs, a, b = B.unzipped(row["words"], np.uint64), *(B.unzipped(row[c]).tolist() for c in ("docs", "key_a", "key_b"))
-                first = np.r_[0, np.cumsum(B.unzipped(row["sizes"]))].tolist()
-                out = []
-                for j, doc in enumerate(docs):
-                    spans = {(s, e) for p, s, e in shard.occurrences(words[first[j] : first[j + 1]]) if shard.docs[p] < doc}
-                    if spans:
-                        out.append((a[j], b[j], [{"s": s, "e": e} for s, e in sorted(spans)]))
+                spans: dict[int, set[tuple[int, int]]] = {}
+                for text, p, s, e in shard.occurrences(words, np.r_[0, np.cumsum(B.unzipped(row["sizes"]))]):
+                    if shard.docs[p] < docs[text]:
+                        spans.setdefault(text, set()).add((s, e))
+                out = [(a[j], b[j], [{"s": s, "e": e} for s, e in sorted(own)]) for j, own in spans.items()]
                 columns = list(zip(*out, strict=True)) if out else [()] * 3
                 kinds = (pa.int64(), pa.int64(), pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["key_a", "key_b", "spans"])
@@ -293,7 +314,7 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, phrase: int = PHRAS
     keys = (F.xxhash64("doc_id", "text").alias("key_a"), F.xxhash64(F.lit("b"), "text", "doc_id").alias("key_b"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select(order, *keys, "text", "doc_id")
     ranged = texts.select("doc", "key_a", "key_b", "text").repartitionByRange("doc", "key_a").sortWithinPartitions("doc")
-    slices = written(ranged.mapInArrow(_slices(length, slice_words), _SLICE), "word-slices")
+    slices = written(ranged.mapInArrow(_slices(length, slice_words), _SLICE), "word-slices", by="slice")
     passages = written(confirmed(slices, length), "passages")
     total = passages.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = -(-total // shard_words)

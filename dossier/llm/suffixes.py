@@ -32,7 +32,7 @@ from .shared import prepare, removed, written
 
 LENGTH, DEPTHS = 200, (64, 200)
 #: Bits of a bucket number in passes before the last, beyond those that number all suffixes: one in 2**SPARE stays by chance.
-SPARE = 5
+SPARE = 4
 _SLICE = "slice long, ids array<long>, sizes array<long>, data binary, suffixes long"
 _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed_from array<long>, removed_to array<long>"
 
