@@ -12,11 +12,12 @@ documents of their own.  An empty benchmark hits nothing; an empty table gives a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
@@ -37,11 +38,13 @@ class NGrams:
         data = buf.tobytes()
         self.items = [name for name, _ in items]
         self.behind: dict[tuple[int, int], dict[bytes, set[int]]] = {}
-        for item, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
-            size = min(length, b - a)
-            for at in range(a, b - size + 1 if size else a):
-                key = int(hashes.of(np.array([at]), np.array([at + size]), 2)[0])
-                words = b" ".join(data[starts[i] : ends[i]] for i in range(at, at + size))
+        counts = np.diff(first)
+        for size in np.unique(np.minimum(counts[counts > 0], length)).tolist():
+            own = np.flatnonzero(np.minimum(counts, length) == size)
+            windows = counts[own] - size + 1
+            at = np.repeat(first[own], windows) + R.runs(windows)
+            for key, p, item in zip(hashes.of(at, at + size, 2).tolist(), at.tolist(), np.repeat(own, windows).tolist(), strict=True):
+                words = b" ".join(data[starts[i] : ends[i]] for i in range(p, p + size))
                 self.behind.setdefault((size, key), {}).setdefault(words, set()).add(item)
         self.sizes = sorted({size for size, _ in self.behind})
         self.sorted = {size: np.sort(np.array([k for s, k in self.behind if s == size], np.uint64)) for size in self.sizes}
@@ -72,11 +75,18 @@ class NGrams:
             yield int(b - a), ranges, items, starts[a:b] - offsets[i], ends[a:b] - offsets[i]
 
 
-def _scan(shared, length: int):
+_LOADED: dict[str, NGrams] = {}
+
+
+def _scan(name: str, shared, length: int):
+    """A worker builds the set of a block once, and holds one at a time for each block that is being scanned."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams: NGrams | None = None
         for batch in batches:
-            grams = grams or NGrams(shared.value, length)
+            if name not in _LOADED:
+                _LOADED.clear()
+                _LOADED[name] = NGrams(shared.value, length)
+            grams = _LOADED[name]
             for part, texts in R.slices(batch, "__text"):
                 index = part.schema.get_field_index
                 had = [part.column(index(c)).to_pylist() for c in ("__hits", "__items")]
@@ -99,17 +109,15 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH,
     """docs as they are, with __words (their number), __hits (word ranges), __spans (the same in bytes) and __items (names)."""
     spark = docs.sparkSession
     prepare(spark)
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text"))
-    below = F.sum(F.octet_length("text") + 1).over(Window.orderBy("item", "text").rowsBetween(Window.unboundedPreceding, -1))
+    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = items.select(F.coalesce(F.sum(F.octet_length("text") + 1), F.lit(0))).first()[0]
-    blocks = 1 if total <= block_bytes else int(total // block_bytes) + 1
-    # Over one block, items are numbered first; the bound on a block then holds but for the item that crosses it.
-    items = items.withColumn("block", F.lit(0) if blocks == 1 else F.floor(F.coalesce(below, F.lit(0)) / block_bytes))
+    blocks = 1 if total <= block_bytes else 2 * int(total // block_bytes) + 2
+    items = items.withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(blocks)))  # half full each, so that chance leaves them within the bound
     pair = "array<struct<from: bigint, to: bigint>>"
     out = docs.withColumns({"__text": F.coalesce("text", F.lit("")), "__words": F.lit(0).cast("long"), "__hits": F.lit(None).cast(pair), "__spans": F.lit(None).cast(pair), "__items": F.lit(None).cast("array<string>")})
     for k in range(blocks):
-        own = [tuple(r) for r in items.where(F.col("block") == k).select("item", "text").distinct().collect()]
-        out = out.mapInArrow(_scan(spark.sparkContext.broadcast(own), length), out.schema)
+        own = [tuple(r) for r in items.where(F.col("block") == k).select("item", "text").collect()]
+        out = out.mapInArrow(_scan(uuid.uuid4().hex, spark.sparkContext.broadcast(own), length), out.schema)
     return out.drop("__text")
 
 

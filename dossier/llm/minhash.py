@@ -12,9 +12,11 @@ first compared with one centre (a star, not all pairs).  Sets of a bucket that a
 after that are then compared with each other, so no link is lost to the star; only sets that differ enough
 to be in other components, yet share two bands, get there.
 
-Defined results: null, empty or blank texts have n_shingles 0, are linked with nothing and are kept.  Rows
-with the same doc_id are one document if their texts agree in shingles; a null doc_id takes part as the
-smallest id, since nulls sort first.  Extra columns are ignored; an empty table gives an empty result.
+Defined results: null, empty or blank texts have n_shingles 0, are linked with nothing and are kept.  Sets are linked, not
+ids: rows of one doc_id with different texts are linked each by its own text.  Rows without a doc_id take part; their
+component_id is the smallest id of the component like any other's, and null where none has one, and they are kept
+only there.  The filter keeps one row of each component, the first by doc_id (null last) and then by hash of the row.
+Extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .shared import prepare, written
+from .shared import prepare, removed, written
 
 SHINGLE, BANDS, ROWS = 5, 40, 4
 
@@ -81,7 +83,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys = band_keys(sketches(elements, sizes, BANDS * ROWS), BANDS)
             some = np.flatnonzero(sizes)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum((sizes > 0) * BANDS)], pa.int32()), pa.array(keys[some].reshape(-1).view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), lists], ["doc_id", "n_shingles", "print_a", "print_b", "bands"])
+            names = ["doc_id", "key_a", "key_b", "n_shingles", "print_a", "print_b", "bands"]
+            yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(3)), pa.array(sizes), pa.array(prints[0]), pa.array(prints[1]), lists], names)
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,13 +165,16 @@ def components(links: DataFrame) -> DataFrame:
     links = links.where("a <> b")
     both = written(links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
     labels = written(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("m")).select("id", F.least("id", "m").alias("comp")), "labels")
+    table = labels
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "comp"), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "id").select("id", F.col("comp").alias("was"), F.least("comp", "m").alias("mid"))
         jump = labels.select(F.col("id").alias("mid"), F.col("comp").alias("far"))
         step = written(step.join(jump, "mid", "left").select("id", "was", F.least("mid", F.coalesce("far", "mid")).alias("comp")), "labels")
-        labels = step.select("id", "comp")
+        removed(table)
+        labels, table = step.select("id", "comp"), step
         if step.where("comp <> was").isEmpty():
+            removed(both)
             return labels
 
 
@@ -178,49 +184,77 @@ def near_duplicates(docs: DataFrame, percent: int = 75, block: int = 1000) -> Da
     percent: least Jaccard similarity of a link, in hundredths.  block: members of a bucket compared at a time;
     larger buckets are dealt out as pairs of blocks, so no task holds more than two of them.
     """
+    return _components(docs, percent, block).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def _row_keys() -> list[Column]:
+    return [F.xxhash64("doc_id", "text").alias("key_a"), F.xxhash64(F.lit("b"), "text", "doc_id").alias("key_b")]
+
+
+def _components(docs: DataFrame, percent: int, block: int) -> DataFrame:
+    """Per row: doc_id, two hashes of it (key_a, key_b), n_shingles, comp (of its set), component_id and kept."""
     spark = docs.sparkSession
     prepare(spark)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    seen = written(texts.mapInArrow(_features, "doc_id long, n_shingles long, print_a long, print_b long, bands array<long>"), "sketches")
-    known = seen.where("doc_id is not null and n_shingles > 0")
-    # Exact copies: one set stands for all that have the same shingles.
-    classes = known.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"))
-    classes = written(classes, "classes")
-    firsts = known.join(classes, ["print_a", "print_b"]).where("doc_id = rep").dropDuplicates(["print_a", "print_b"])
-    entries = written(firsts.select(F.explode("bands").alias("key"), F.col("rep").alias("id"), "n"), "bands")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", *_row_keys(), "text")
+    seen = written(texts.mapInArrow(_features, "doc_id long, key_a long, key_b long, n_shingles long, print_a long, print_b long, bands array<long>"), "sketches")
+    known = seen.where("n_shingles > 0")
+    # Exact copies: one set, with a number of its own, stands for all rows that have the same shingles.
+    firsts = known.groupBy("print_a", "print_b").agg(F.min("doc_id").alias("doc"), F.min(F.struct("key_a", "key_b")).alias("row"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
+    firsts = written(firsts.withColumn("id", F.monotonically_increasing_id()), "classes")
+    classes = firsts.select("print_a", "print_b", "id", "doc")
+    entries = written(firsts.select(F.explode("bands").alias("key"), "id", "n"), "bands")
     buckets = entries.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("first")).where("members > 1")
     member = written(entries.join(buckets, "key").select("key", "id", "n", "members", F.col("first.id").alias("centre"), F.col("first.n").alias("centre_n")), "buckets")
     near_size = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     star = member.where("id <> centre").where(near_size(F.col("n"), F.col("centre_n"))).groupBy("centre", "id").agg(F.count("*").alias("shared"))
-    star = written(star.select("centre", "id"), "star")
+    star = star_table = written(star.select("centre", "id"), "star")
     # Sets again, of those that are compared at all: in a star, or in a bucket with two members besides the centre.
     wanted = star.select("id").union(star.select("centre")).union(member.where("members > 2 and id <> centre").select("id")).distinct()
-    wanted = written(wanted.withColumnRenamed("id", "doc_id"), "wanted")
-    sets = written(texts.join(wanted, "doc_id").mapInArrow(_sets, "id long, shingles array<long>"), "sets").dropDuplicates(["id"])
+    wanted = written(wanted.join(firsts.select("id", "row.key_a", "row.key_b"), "id"), "wanted")
+    chosen = texts.select("key_a", "key_b", "text").join(wanted, ["key_a", "key_b"]).select("id", "text")
+    set_table = written(chosen.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    sets = set_table.dropDuplicates(["id"])
     pairs = star.join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("s")), "centre").join(sets, "id")
     pairs = pairs.select(F.col("centre").alias("a"), F.col("id").alias("b"), F.size(F.array_intersect("s", "shingles")).alias("both"), (F.size("s") + F.size("shingles")).alias("total"))
     links = written(pairs.where(F.col("both") * 100 >= (F.col("total") - F.col("both")) * percent).select("a", "b"), "links")
     labels = components(links)
     # Members besides the centre that are in different components still.
     rest = member.where("members > 2 and id <> centre").join(labels, "id", "left").select("key", "id", "members", F.coalesce("comp", "id").alias("comp"))
-    rest = written(rest, "rest")
+    rest = rest_table = written(rest, "rest")
     mixed = rest.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("left")).where("low <> high")
     rest = rest.join(mixed.select("key", "left"), "key").select("key", "id", "comp", F.ceil(F.col("left") / block).cast("int").alias("blocks"))
     rest = rest.withColumn("side", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rest = rest.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rest = rest.select("key", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"), "side", "id", "comp")
     dealt = rest.join(sets, "id").repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    more = written(dealt.mapInArrow(_linked_across(percent), "a long, b long"), "more").distinct()
+    more_table = written(dealt.mapInArrow(_linked_across(percent), "a long, b long"), "more")
+    more = more_table.distinct()
     if not more.isEmpty():
         labels = components(links.union(more))
-    groups = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("print_a", "print_b", F.coalesce("comp", "rep").alias("comp"))
-    out = seen.select("doc_id", "n_shingles", "print_a", "print_b").join(groups, ["print_a", "print_b"], "left")
-    alone = F.col("n_shingles") == 0
-    out = out.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).when(F.col("doc_id").isNotNull(), F.col("comp")).alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    groups = classes.join(labels, "id", "left").select("print_a", "print_b", "doc", F.coalesce("comp", "id").alias("comp"))
+    smallest = groups.groupBy("comp").agg(F.min("doc").alias("component_id"))
+    groups = groups.join(smallest, "comp").select("print_a", "print_b", "comp", "component_id")
+    out = seen.select("doc_id", "key_a", "key_b", "n_shingles", "print_a", "print_b").join(groups, ["print_a", "print_b"], "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
+    out = out.select("doc_id", "key_a", "key_b", "n_shingles", "comp", component.alias("component_id"))
+    out = written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "components")
+    for table in (seen, firsts, entries, member, star_table, wanted, set_table, links, rest_table, more_table):
+        removed(table)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
-    """docs without the documents that are not the first of their group; all columns stay as they are."""
-    gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs with one row of each component; all columns stay as they are."""
+    found = _components(docs, percent, 1000)
+    known = found.where("comp is not null")
+    first = known.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_a", "key_b")).alias("f"), F.count("*").alias("n"))
+    first = written(first.select("n", "f.key_a", "f.key_b"), "firsts")
+    gone = known.select("key_a", "key_b").distinct().join(first, ["key_a", "key_b"], "left_anti")
+    keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc", *_row_keys())
+    kept = keyed.join(gone, ["key_a", "key_b"], "left_anti")
+    # Rows that are repeated as a whole have one key: only where there are any is one of them chosen.
+    twice = known.groupBy("key_a", "key_b").agg(F.count("*").alias("rows")).where("rows > 1").join(first, ["key_a", "key_b"], "left_semi").select("key_a", "key_b")
+    if not twice.isEmpty():
+        twice = written(twice, "twice")
+        kept = kept.join(twice, ["key_a", "key_b"], "left_anti").union(kept.join(twice, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]))
+    return kept.select("doc.*")

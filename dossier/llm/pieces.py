@@ -1,6 +1,8 @@
 """SentencePiece encoding and decoding with N-best segmentation over the piece lattice.
 
-The vocabulary and its scores come from a model file and are never trained.  A segmentation's score is the sum of
+The vocabulary and the order of its pieces come from a model file and are never trained.  A byte-pair model scores a piece
+by its place in the order of merges, not by how likely it is: sums of such scores favour few merges.  So a piece's score
+is the logarithm of its chance by the law of Zipf and Mandelbrot: minus the logarithm of its place plus `SHIFT`.  A segmentation's score is the sum of
 its pieces' scores; a character without a piece is spelled in byte pieces, at ten below the least score.  Spaces
 become the word mark and a text gets one in front; a mark that a text holds itself is spelled in bytes, so
 decoding gives back every text exactly.
@@ -18,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cached_property
@@ -32,6 +35,7 @@ from .shared import prepare
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK, OWN_MARK = 0x2581, 0x110000  # the word mark, and a mark that the text holds itself
+SHIFT = 300
 LONGEST = 32  # characters of words that are segmented together; longer ones are segmented one by one
 
 
@@ -51,7 +55,11 @@ class Vocabulary:
         sp = sentencepiece.SentencePieceProcessor(model_file=path)
         ids = range(sp.get_piece_size())
         odd = [sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i) for i in ids]
-        return cls([sp.id_to_piece(i) for i in ids], [sp.get_score(i) for i in ids], odd, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
+        given = [sp.get_score(i) for i in ids]
+        ranks = {i: r for r, i in enumerate(sorted((i for i in ids if not odd[i]), key=lambda i: -given[i]), 1)}
+        # Binary fractions, so that sums are exact and ties are ties.
+        scores = [-round(1024 * math.log(ranks[i] + SHIFT)) / 1024 if i in ranks else 0.0 for i in ids]
+        return cls([sp.id_to_piece(i) for i in ids], scores, odd, [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)])
 
     @cached_property
     def ids(self) -> dict[tuple[int, ...], int]:
@@ -242,8 +250,8 @@ class Encoder:
         have = ids != -1
         return best, best - second, ids[have], have.sum(axis=1)
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[tuple[float, list[tuple[int, list[int]]]]]]]:
-        """Of each text: ids of the best segmentation, and the N best as (score, changed words with their ids)."""
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, list[tuple[float, list[tuple[int, list[int]]]]], np.ndarray]]:
+        """Of each text: ids of the best segmentation, the N best as (score, changed words with their ids), and where words' ids end."""
         parts = [symbols(t) for t in texts]
         flat = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
         offsets = np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int64)
@@ -266,7 +274,7 @@ class Encoder:
             words = which[a:b]
             n = counts[words]
             ids = pool[np.repeat(base[words], n) + R.runs(n)]
-            out.append((ids, self.alternatives(words, float(best[words].sum()), gap, flat, starts, ends, a)))
+            out.append((ids, self.alternatives(words, float(best[words].sum()), gap, flat, starts, ends, a), np.cumsum(n)))
         return out
 
     def solve(self, ranges: R.Ranges, flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -320,6 +328,16 @@ class Encoder:
         return out
 
 
+def whole(ids: np.ndarray, changed: list[tuple[int, list[int]]], ends: np.ndarray) -> list[int]:
+    """All ids of a segmentation that differs from the best one in some words."""
+    out, at = [], 0
+    for word, own in sorted(changed):
+        start = int(ends[word - 1]) if word else 0
+        out += ids[at:start].tolist() + own
+        at = int(ends[word])
+    return out + ids[at:].tolist()
+
+
 def _encode(shared, n: int, column: int, digest: bool):
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary: Vocabulary = shared.value
@@ -331,10 +349,10 @@ def _encode(shared, n: int, column: int, digest: bool):
             for part, texts in R.slices(batch, name, 3 << 20):
                 texts = texts.to_pylist()
                 done = encoder.encode(texts)
-                ids = [x for x, _ in done]
+                ids = [x for x, _, _ in done]
                 kinds = [pa.float64(), pa.list_(pa.float64())]
-                score = [b[0][0] for _, b in done]
-                best = [[s for s, _ in b] for _, b in done]
+                score = [b[0][0] for _, b, _ in done]
+                best = [[s for s, _ in b] for _, b, _ in done]
                 back = []
                 for x, text in zip(ids, texts, strict=True):
                     some = len(x) and ((x >= bytes_from) & (x <= bytes_to) & (x != bytes_from + 10)).any()
@@ -344,23 +362,29 @@ def _encode(shared, n: int, column: int, digest: bool):
                 if digest:
                     last = [pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())]
                 else:
-                    last = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))]
+                    every = [[whole(x, changed, ends) for _, changed in b] for x, b, ends in done]
+                    flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
+                    last = [flat, pa.array(every, pa.list_(pa.list_(pa.int32())))]
                 keep = [part.column(i) for i in range(part.num_columns) if i != column]
                 arrays = [*keep, count, pa.array(score, kinds[0]), pa.array(best, kinds[1]), pa.array(back, pa.bool_()), *last]
                 names = [c for i, c in enumerate(batch.schema.names) if i != column]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_pieces", "score", "nbest_scores", "round_trip", "ids_sha256" if digest else "ids"])
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_pieces", "score", "nbest_scores", "round_trip", *(["ids_sha256"] if digest else ["ids", "nbest_ids"])])
 
     return encode
 
 
 def encode_documents(docs: DataFrame, n: int = 3, model: str = MODEL, text: str = "text", digest: bool = False) -> DataFrame:
-    """docs without their texts, with n_pieces, score, nbest_scores (of the n best), round_trip and ids (or their SHA-256, as little-endian int32)."""
+    """docs without their texts, with n_pieces, score, nbest_scores (of the n best), round_trip, ids and nbest_ids (or the ids' SHA-256, as little-endian int32).
+
+    Columns of docs with one of these names give way to the new ones.
+    """
     spark = docs.sparkSession
     prepare(spark)
     shared = spark.sparkContext.broadcast(Vocabulary.load(model))  # a vocabulary has a size of its own, whatever the data
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text)
-    new = f"n_pieces long, score double, nbest_scores array<double>, round_trip boolean, {'ids_sha256 string' if digest else 'ids array<int>'}"
-    return docs.mapInArrow(_encode(shared, n, docs.schema.fieldNames().index(text), digest), f"{schema}, {new}" if schema else new)
+    new = {"n_pieces": "long", "score": "double", "nbest_scores": "array<double>", "round_trip": "boolean"} | ({"ids_sha256": "string"} if digest else {"ids": "array<int>", "nbest_ids": "array<array<int>>"})
+    docs = docs.select(*(c for c in docs.columns if c not in new))
+    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != text]
+    return docs.mapInArrow(_encode(shared, n, docs.schema.fieldNames().index(text), digest), ", ".join([*schema, *(f"{k} {v}" for k, v in new.items())]))
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:

@@ -4,12 +4,13 @@ Documents are ordered by a hash of their text and then doc_id, so equal texts li
 is split where a boundary falls into it.  Splitters are found by counting: each round every partition counts the
 exact bytes and rows of 64 key intervals within each interval that still holds a splitter, the driver reads those
 few counts, and the probes move into the interval that holds the splitter, until it is met within the tolerance.
-Rows are exchanged once, by at least `parts` near equal intervals of hashes, so no task gathers a shard; exact
-counts give each interval its first slot.
+Rows are exchanged once, by intervals of keys with near equal numbers of rows, found by the same counting, so no task
+gathers a shard or a hot text; exact counts give each interval its first slot.
 
 Law `bytes`: a document's shard is floor(shards * (bytes of all smaller keys + half its own) / all bytes).
 
-Defined results: a null text counts as empty; a null doc_id sorts first; rows with equal keys share a shard and
+Defined results: a null text counts as empty; a null doc_id sorts first; ids further apart than 2**62 are ordered by their
+halves; rows with equal keys share a shard and
 have slots in any order; empty tables give empty results.  Extra columns are ignored.
 """
 
@@ -114,11 +115,12 @@ def _shard(splitters: list[Key], low: int, high: int) -> Column:
     return F.when(less, _shard(splitters, low, mid)).otherwise(_shard(splitters, mid + 1, high))
 
 
-def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0, part_bits: int = 8) -> DataFrame:
+def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0, part_rows: int = 1 << 22) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs.
 
-    The one exchange deals rows to 2**part_bits intervals of hashes, and one more for each splitter.
+    The one exchange deals rows to intervals of part_rows rows at most, as many as there are shuffle partitions at least.
     """
+    spark = docs.sparkSession
     text, ids = F.coalesce("text", F.lit("")), F.col("doc_id").cast("long")
     keys = docs.select(
         ids.alias("doc_id"),
@@ -127,17 +129,21 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0, pa
         F.conv(F.substring(F.md5(text.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
     )
     keys = written(keys, "keys")
-    least = keys.agg(F.coalesce(F.min("doc_id"), F.lit(0))).first()[0]
-    keys = keys.withColumn("e", F.coalesce(F.col("doc_id") - F.lit(least) + 1, F.lit(0)))
+    least, top, total = keys.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0)), F.count("*")).first()
+    half = int(top - least >= 1 << 62)
+    keys = keys.withColumn("e", F.coalesce(F.shiftright("doc_id", half) - F.lit(least >> half) + 1, F.lit(0).cast("long")))
     splitters = histogram_splitters(keys, shards, tolerance)
     placed = keys.withColumn("shard", _shard(splitters, 0, len(splitters)))
-    # Both terms never fall along the order of keys, so each interval of hashes within a shard has a number of its own.
-    placed = placed.withColumn("part", F.shiftright("h", HASH_BITS - part_bits) + F.col("shard"))
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // part_rows))
+    cuts = histogram_splitters(keys.withColumn("size", F.lit(1)), parts, total // (4 * parts), 0)
+    # Both terms never fall along the order of keys, so each interval of keys within a shard has a number of its own.
+    placed = placed.withColumn("part", _shard(cuts, 0, len(cuts)) + F.col("shard"))
     counts = sorted(tuple(r) for r in placed.groupBy("part", "shard").agg(F.count("*")).collect())  # a row for each interval
     first, slots = {}, dict.fromkeys(range(shards + 1), 0)
     for part, shard, n in counts:
         first[part] = slots[shard]
         slots[shard] += n
-    base = F.element_at(F.create_map(*(F.lit(x) for kv in first.items() for x in kv)), F.col("part")) if first else F.lit(0)
-    at = F.row_number().over(Window.partitionBy("part").orderBy("h", "e"))
-    return placed.withColumn("at", at).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("at") - 1 + base).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    begins = spark.createDataFrame(list(first.items()), "part int, base long")
+    at = F.row_number().over(Window.partitionBy("part").orderBy("h", "e", "doc_id"))
+    placed = placed.join(F.broadcast(begins), "part")  # a row for each interval
+    return placed.withColumn("at", at).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"), (F.col("at") - 1 + F.col("base")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -257,7 +257,7 @@ def test_pieces_round_trip_and_n_best(docs):
                 for s in every(i + 1):
                     yield s + v.unknown
 
-        (ids, best), = pieces.Encoder(v, 4).encode([text])
+        (ids, best, _), = pieces.Encoder(v, 4).encode([text])
         assert [round(s, 3) for s, _ in best] == [round(s, 3) for s in sorted(every(0), reverse=True)[: len(best)]]
         assert pieces.decode(v, ids.tolist()) == text
 
@@ -291,7 +291,8 @@ def test_empty_tables(spark, docs):
 
 def test_null_ids(spark):
     odd = spark.createDataFrame([(None, "a b c d e f", None, None, None, None, None), (None, None, None, None, None, None, None), (1, "a b c d e f", None, None, None, None, None)], SCHEMA)
-    assert minhash.near_duplicates(odd).where("kept").count() == 3
+    assert table(minhash.near_duplicates(odd), "doc_id", "component_id", "kept") == [(1, 1, True), (None, 1, False), (None, None, True)]
+    assert minhash.drop_near_duplicates(odd).count() == 2 and minhash.drop_near_duplicates(odd.union(odd)).count() == 3
     for out in (suffixes.repeated_bytes(odd), phrases.repeated_passages(odd), shards.shard_by_bytes(odd), quality.quality_report(odd), pii.personal_report(odd), secrets.secret_report(odd), pieces.encode_report(odd)):
         assert out.count() == 3
 
