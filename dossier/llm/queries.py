@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leaks, minhash, pages, phrases, pieces, pii, quality, secrets, shards, suffixes
+from . import leaks, minhash, oracles, pages, phrases, pieces, pii, quality, secrets, shards, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,4 +65,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_substring_dedup": op10_substring_dedup,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_minhash_near_dedup": oracles.NEAR,
+    "op4_benchmark_decontamination": oracles.LEAKS,
+    "op5_sharding": oracles.SHARDS,
+    "op9_suffix_array_dedup": oracles.BYTES,
+    "op10_substring_dedup": oracles.PASSAGES,
+}
