@@ -187,12 +187,47 @@ def test_em_finds_reliable_labelers():
     rnd, counts = random.Random(3), collections.Counter()
     for _ in range(4000):
         truth = rnd.random() < 0.4
-        counts["email", tuple((1 if truth else -1) * (1 if rnd.random() < r else -1) for r in (0.95, 0.9, 0.6, 0.85))] += 1
+        counts["email", tuple((1 if truth else -1) * (1 if rnd.random() < r else -1) for r in (0.95, 0.9, 0.6, 0.85)), (int(truth), 0, 0, 0)] += 1
     post = pii.estimate(counts)
-    assert post["email", (1, 1, 1, 1)] > 0.95 and post["email", (-1, -1, 1, -1)] < 0.05
+    assert post["email", (1, 1, 1, 1), (1, 0, 0, 0)] > 0.95 and post["email", (-1, -1, 1, -1), (0, 0, 0, 0)] < 0.05
     w = pii.classifier(counts, post)
-    score = lambda v: float(pii._features("email", v) @ w)
-    assert score((1, 1, 1, 1)) > 0 > score((-1, -1, -1, -1))
+    score = lambda v, x: float(pii._features("email", v, (x, 0, 0, 0)) @ w)
+    assert score((1, 1, 1, 1), 1) > 0 > score((-1, -1, -1, -1), 0)
+    assert score((1, -1, 1, -1), 1) > score((1, -1, 1, -1), 0)
+
+
+def account(rnd):
+    number = "".join(rnd.choice("0123456789") for _ in range(18))
+    return f"DE{98 - int(number + '131400') % 97:02d}{number}"
+
+
+def test_planted_personal_data_is_added(spark, monkeypatch):
+    rnd = random.Random(11)
+    words = "the of and pet house walk green under river stone water light table over".split()
+    prose = lambda n: " ".join(rnd.choice(words) for _ in range(n))
+    digits = lambda n: "".join(rnd.choice("0123456789") for _ in range(n))
+    make = {
+        "id": lambda: f"{rnd.randint(101, 599)}-{rnd.randint(10, 99)}-{rnd.randint(1000, 9999)}", "iban": lambda: account(rnd),
+        "person": lambda: f"Mrs {rnd.choice(['Anna', 'Laura', 'Susan'])} {rnd.choice(['Miller', 'Weber', 'Garcia'])}",
+        "email": lambda: f"user{digits(3)} (at) mail{digits(2)} (dot) org", "phone": lambda: f"({rnd.randint(220, 299)}) {rnd.randint(220, 999)}-{digits(4)}",
+    }
+    hint = {"id": "social security", "iban": "bank account", "person": "signed by", "email": "contact", "phone": "phone"}
+    decoys = ["part 900-00-0000", "serial XX00AAAABBBBCCCC", "version 111 111 1111", "model QQ12ABCD1234EFGH"]
+    rows, planted = [], {}
+    for i in range(200):
+        kind = rnd.choice(list(make))
+        own = make[kind]()
+        head = f"é {prose(12)} {hint[kind] + ' ' if i % 2 else ''}"
+        planted[i] = (kind, len(head), len(head) + len(own))
+        rows.append((i, f"{head}{own} {prose(9)}"))
+    rows += [(i, f"{prose(10)} {rnd.choice(decoys)} {prose(10)}") for i in range(200, 400)]
+    given = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: {(x["kind"], x["from"], x["to"]) for x in r.added} for r in pii.personal_spans(given).collect()}
+    assert sum(planted[i] in found[i] for i in planted) >= 0.9 * len(planted)
+    assert sum(bool(found[i]) for i in range(200, 400)) <= 0.05 * 200
+    assert sum(len(x) for x in found.values()) <= 1.1 * len(planted)
+    monkeypatch.setattr(pii, "classifier", lambda *a: pii.np.full(pii._width(), -1.0))
+    assert pii.personal_spans(given).where("size(added) > 0").isEmpty()
 
 
 def test_secrets(docs, rows):
