@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .shared import prepare
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.DOTALL)
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(?:[!?])[^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)(?:>|\Z)", re.DOTALL)
 _SPACE = re.compile(r"\s+")
 _ATTRIBUTES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.IGNORECASE)
 # Kinds of elements.
@@ -53,6 +53,7 @@ class Blocks:
     def __init__(self, page: str):
         self.out: list[dict] = []
         self.stack: list[tuple[str, int]] = []  # tag, and the number of the frame that it begins (0: none, -1: hidden)
+        self.within: Counter = Counter()  # how many elements of each tag are open
         self.frames = 0
         self.named: dict[int, bool] = {}  # of each frame, whether a form or a name makes it one, rather than its tag
         self.holders: set[int] = set()  # frames that hold an article
@@ -86,27 +87,33 @@ class Blocks:
             return
         if any(t in BLOCK for t, _ in self.stack[at:]):
             self.end_block()
+        self.drop(at)
+
+    def drop(self, at: int) -> None:
+        """Takes open elements off the stack."""
+        self.within.subtract(t for t, _ in self.stack[at:])
         del self.stack[at:]
 
     def open(self, tag: str, attributes: str) -> None:
         if tag in BLOCK:
             self.end_block()
-            if tag in CLOSES or any(t == "p" for t, _ in self.stack):
+            if tag in CLOSES or self.within["p"]:
                 for i in range(len(self.stack) - 1, -1, -1):
                     own = self.stack[i][0]
                     if own in ("table", "ul", "ol", "dl", "article", "main", "section", "div", "body", "blockquote", "nav", "aside", "footer", "header", "form"):
                         break
                     if tag in CLOSES.get(own, ()):
-                        del self.stack[i:]
+                        self.drop(i)
                         break
         found = {k.lower(): (v or "").strip("\"'") for k, v in _ATTRIBUTES.findall(attributes)} if attributes and not attributes.isspace() else {}
         # A header within the article holds its headline.
-        frame = tag in FRAME and not (tag == "header" and any(t == "article" for t, _ in self.stack))
+        frame = tag in FRAME and not (tag == "header" and self.within["article"])
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         named = found.get("role", "").lower() in FRAME_ROLES or (tag not in ("html", "body", "article", "main") and bool(FRAME_NAMES.search(found.get("class", "")) or FRAME_NAMES.search(found.get("id", ""))))
         if frame or named:
             self.frames += 1
             self.named[self.frames] = named or tag == "form"
+        self.within[tag] += 1
         self.stack.append((tag, -1 if hidden else self.frames if frame or named else 0))
         if tag in ("article", "main") and not hidden:
             self.holders |= {f for _, f in self.stack[:-1] if f > 0}
@@ -118,7 +125,7 @@ class Blocks:
             words = page[at : m.start() if m else end]
             if words:
                 self.text.append(words)
-                if any(t == "a" for t, _ in self.stack):
+                if self.within["a"]:
                     self.linked += len(words)
             if not m:
                 break

@@ -10,7 +10,7 @@ gathers a shard or a hot text; exact counts give each interval its first slot.
 Law `bytes`: a document's shard is floor(shards * (bytes of all smaller keys + half its own) / all bytes).
 
 Defined results: a null text counts as empty; a null doc_id sorts first; ids further apart than 2**62 are ordered by their
-halves; rows with equal keys share a shard and
+quarters; rows with equal keys share a shard and
 have slots in any order; empty tables give empty results.  Extra columns are ignored.
 """
 
@@ -130,7 +130,7 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS, tolerance: int = 0, pa
     )
     keys = written(keys, "keys")
     least, top, total = keys.agg(F.coalesce(F.min("doc_id"), F.lit(0)), F.coalesce(F.max("doc_id"), F.lit(0)), F.count("*")).first()
-    half = int(top - least >= 1 << 62)
+    half = 2 * int(top - least >= 1 << 62)
     keys = keys.withColumn("e", F.coalesce(F.shiftright("doc_id", half) - F.lit(least >> half) + 1, F.lit(0).cast("long")))
     splitters = histogram_splitters(keys, shards, tolerance)
     placed = keys.withColumn("shard", _shard(splitters, 0, len(splitters)))

@@ -265,6 +265,50 @@ def test_random_keys_are_added_whatever_the_size_of_the_table(spark):
         assert secrets.secret_spans(given).where("doc_id = 9 and size(added) > 0").isEmpty()
 
 
+def test_random_keys_are_found_among_prose(spark):
+    rnd = random.Random(7)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    alphabets = (letters + letters.upper() + "0123456789", "ABCDEF0123456789", letters.upper() + "234567", letters + letters.upper() + "0123456789+/")
+    words = "the pet house internationalisation getElementById walk under 2024-03-05 river src/main/java light HTTPServer table".split()
+    prose = lambda: " ".join(rnd.choice(words) for _ in range(30))
+    keys = ["".join(rnd.choice(rnd.choice([alphabets[i % 4]])) for _ in range(rnd.choice((16, 24, 32, 40, 64)))) for i in range(100)]
+    given = [(i, f"{prose()} {keys[i] if i < 100 else 'plain'} {prose()}") for i in range(200)]
+    found = {r.doc_id: {given[r.doc_id][1][s["from"] : s["to"]] for s in r.added} for r in secrets.secret_spans(spark.createDataFrame(given, "doc_id long, text string")).collect()}
+    hits = sum(k in found[i] for i, k in enumerate(keys))
+    assert hits >= 90 and sum(map(len, found.values())) - hits <= 0.05 * hits
+
+
+def test_automata_decide(docs, monkeypatch):
+    monkeypatch.setattr(phrases, "PASSAGE_WORDS", 60)
+    assert phrases.repeated_passages(docs, shard_words=100, slice_words=80).where("n_removed > 0").count() == phrases.repeated_passages(docs).where("n_removed > 0").count() > 0
+    shard = phrases.Shard(phrases.np.zeros(1, int), phrases.np.array([60]), phrases.R.mix(phrases.np.arange(60, dtype="uint64")), 50, 10)
+    words = phrases.np.concatenate([phrases.R.mix(phrases.np.arange(100, 107, dtype="uint64")), shard.words[3:58], phrases.R.mix(phrases.np.arange(200, 205, dtype="uint64"))])
+    first = phrases.np.array([0, len(words)])
+    assert set(shard.occurrences(words, first)) == {(0, 0, 7, 62)}
+    shard.automaton = phrases.ahocorasick.Automaton()
+    assert not list(shard.occurrences(words, first))
+
+
+@pytest.mark.parametrize("depths", [(200,), (20, 64, 200)])
+def test_suffixes_in_any_digits(docs, depths):
+    columns = ("doc_id", "n_removed", "n_spans", "kept_sha256")
+    assert table(suffixes.repeated_bytes(docs, depths=depths, slice_bytes=700, range_keys=300), *columns) == table(suffixes.repeated_bytes(docs), *columns)
+
+
+def test_ids_far_apart(spark):
+    far = spark.createDataFrame([(-(1 << 63), "a", 0), ((1 << 63) - 1, "a", 0), (None, "a", 0), (5, "a", 0)], "doc_id long, text string, x int")
+    assert sorted(r["slot"] for r in shards.shard_by_bytes(far, 1).collect()) == [0, 1, 2, 3]
+
+
+def test_stray_quotes_and_deep_nesting_are_read_in_linear_time():
+    import time
+
+    start = time.time()
+    for page in ("<p class='a\">it is x</p>" * 8000, '<p title="x>' + "<div class=a>text</div>" * 8000, "<a b='" * 30000, "<" * 200000):
+        pages.main_text(page)
+    assert time.time() - start < 20
+
+
 def test_pages(spark):
     page = ("<html><head><title>T</title></head><body><nav><a href=x>Menu</a></nav><article><h1>Head &amp; line</h1><p>One<br>two &lt;3. <b>Bold</b><p>Next, part."
             "<div class='comments'>Spam</div></article><footer>Foot</footer><script>'</p>'</script></body></html>")
