@@ -12,7 +12,7 @@ document has of a passage is removed.
 An automaton's letters are bytes, two of each word's hash; stretches of a text in which no phrase begins with its first
 words (by a bitmap of hashes, which has no misses) are passed over.  Every occurrence is verified by the words' 64-bit hashes, at
 least `length` of them.  A pass over all documents is made for each shard, and shards grow with what recurs, so a
-larger `shard_words` (about 30 bytes of a worker's memory each) means fewer passes.
+larger `shard_words` (about 60 bytes of a worker's memory each) means fewer passes.
 
 Defined results: null texts have no words; texts shorter than a window keep all words; rows with the same doc_id
 are one document; a null doc_id comes after all others, and rows without one don't make each other lose words.
@@ -37,7 +37,7 @@ from . import buckets as B
 from . import rolling as R
 from .shared import prepare, removed, shared_dir, written
 
-LENGTH, PHRASE, SHARD_WORDS, SLICE_WORDS = 50, 10, 8 << 20, 1 << 20
+LENGTH, PHRASE, SHARD_WORDS, SLICE_WORDS = 50, 10, 4 << 20, 1 << 20
 #: First words of a phrase, by which texts are looked through for it.
 HEAD = 4
 #: A passage of more words is cut into several, which overlap by a window less a word.
@@ -169,18 +169,18 @@ class Shard:
     def __init__(self, docs: np.ndarray, sizes: np.ndarray, words: np.ndarray, length: int, phrase: int):
         self.docs, self.words, self.length, self.phrase = docs, words, length, phrase
         self.first = np.r_[0, np.cumsum(sizes)]
-        self.places: dict[str, list[tuple[int, int]]] = {}  # of each phrase: passage, and place in all words
+        places: dict[str, list[tuple[int, int]]] = {}  # of each phrase: passage, and place in all words
         letters = _letters(words)
         for p, at in self.chosen():
-            self.places.setdefault(letters[2 * at : 2 * (at + phrase)], []).append((p, at))
+            places.setdefault(letters[2 * at : 2 * (at + phrase)], []).append((p, at))
         self.automaton = ahocorasick.Automaton()
-        for key, places in self.places.items():
-            self.automaton.add_word(key, places)
+        for key, own in places.items():
+            self.automaton.add_word(key, own)
         if len(self.automaton):
             self.automaton.make_automaton()
-        self.bits = len(self.places).bit_length() + 8
+        self.bits = len(places).bit_length() + 6
         self.begins = np.zeros(1 << self.bits, bool)
-        at = np.array([place for places in self.places.values() for _, place in places], np.int64)
+        at = np.array([place for own in places.values() for _, place in own], np.int64)
         if len(at):
             self.begins[self.head(words, at)] = True
 
@@ -216,10 +216,10 @@ class Shard:
         letters = _letters(words)
         seen: dict[tuple[int, int], int] = {}  # of each passage and shift, how far the text has been followed
         for s, e in zip(*(x.tolist() for x in R.covered(at, at + self.phrase)), strict=True):
-            for end, places in self.automaton.iter(letters, 2 * s, 2 * e):
+            for end, places in self.automaton.iter(letters[2 * s : 2 * e]):
                 if not end & 1:  # letters that aren't those of whole words
                     continue
-                at = (end + 1) // 2 - self.phrase
+                at = s + (end + 1) // 2 - self.phrase
                 text = int(np.searchsorted(first, at, "right")) - 1
                 low, high = int(first[text]), int(first[text + 1])
                 if at + self.phrase > high:
