@@ -78,15 +78,18 @@ class NGrams:
 _LOADED: dict[str, NGrams] = {}
 
 
-def _scan(name: str, shared, length: int):
-    """A worker builds the set of a block once, and holds one at a time for each block that is being scanned."""
+def loaded(name: str, shared, length: int) -> NGrams:
+    """The set of a block; a worker builds it once and holds one at a time."""
+    if name not in _LOADED:
+        _LOADED.clear()
+        _LOADED[name] = NGrams(shared.value, length)
+    return _LOADED[name]
+
 
+def _scan(name: str, shared, length: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if name not in _LOADED:
-                _LOADED.clear()
-                _LOADED[name] = NGrams(shared.value, length)
-            grams = _LOADED[name]
+            grams = loaded(name, shared, length)
             for part, texts in R.slices(batch, "__text"):
                 index = part.schema.get_field_index
                 had = [part.column(index(c)).to_pylist() for c in ("__hits", "__items")]

@@ -255,16 +255,21 @@ class Shard:
 _LOADED: dict[str, Shard] = {}
 
 
+def loaded(name: str, shared, length: int, phrase: int) -> Shard:
+    """The shard of that name; a worker builds it once and holds one at a time.  (Tasks refer to this function by its place, and so to one cache.)"""
+    if name not in _LOADED:
+        _LOADED.clear()
+        docs, sizes, words = shared.value
+        _LOADED[name] = Shard(docs, sizes, words, length, phrase)
+    return _LOADED[name]
+
+
 def _streamed(name: str, shared, length: int, phrase: int):
-    """Spans that documents have of passages of earlier ones, of one shard; a worker builds its automaton once."""
+    """Spans that documents have of passages of earlier ones, of one shard."""
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if name not in _LOADED:
-                _LOADED.clear()
-                docs, sizes, words = shared.value
-                _LOADED[name] = Shard(docs, sizes, words, length, phrase)
-            shard = _LOADED[name]
+            shard = loaded(name, shared, length, phrase)
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 words, docs, a, b = B.unzipped(row["words"], np.uint64), *(B.unzipped(row[c]).tolist() for c in ("docs", "key_a", "key_b"))
