@@ -328,14 +328,18 @@ class Encoder:
         return out
 
 
-def whole(ids: np.ndarray, changed: list[tuple[int, list[int]]], ends: np.ndarray) -> list[int]:
+def whole(ids: np.ndarray, changed: list[tuple[int, list[int]]], ends: np.ndarray) -> np.ndarray:
     """All ids of a segmentation that differs from the best one in some words."""
     out, at = [], 0
     for word, own in sorted(changed):
-        start = int(ends[word - 1]) if word else 0
-        out += ids[at:start].tolist() + own
+        out += [ids[at : int(ends[word - 1]) if word else 0], np.array(own, ids.dtype)]
         at = int(ends[word])
-    return out + ids[at:].tolist()
+    return np.concatenate([*out, ids[at:]])
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    flat = np.concatenate(arrays) if arrays else np.zeros(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in arrays])], pa.int32()), pa.array(flat, pa.int32()))
 
 
 def _encode(shared, n: int, column: int, digest: bool):
@@ -346,7 +350,7 @@ def _encode(shared, n: int, column: int, digest: bool):
         bytes_from, bytes_to = min(vocabulary.byte_ids), max(vocabulary.byte_ids)
         for batch in batches:
             name = batch.schema.names[column]
-            for part, texts in R.slices(batch, name, 3 << 20):
+            for part, texts in R.slices(batch, name):
                 texts = texts.to_pylist()
                 done = encoder.encode(texts)
                 ids = [x for x, _, _ in done]
@@ -362,9 +366,9 @@ def _encode(shared, n: int, column: int, digest: bool):
                 if digest:
                     last = [pa.array([hashlib.sha256(x.astype("<i4").tobytes()).hexdigest() for x in ids], pa.string())]
                 else:
-                    every = [[whole(x, changed, ends) for _, changed in b] for x, b, ends in done]
-                    flat = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(x) for x in ids])], pa.int32()), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-                    last = [flat, pa.array(every, pa.list_(pa.list_(pa.int32())))]
+                    every = [whole(x, changed, ends) for x, b, ends in done for _, changed in b]
+                    ends = pa.array(np.r_[0, np.cumsum([len(b) for _, b, _ in done])], pa.int32())
+                    last = [_lists(ids), pa.ListArray.from_arrays(ends, _lists(every))]
                 keep = [part.column(i) for i in range(part.num_columns) if i != column]
                 arrays = [*keep, count, pa.array(score, kinds[0]), pa.array(best, kinds[1]), pa.array(back, pa.bool_()), *last]
                 names = [c for i, c in enumerate(batch.schema.names) if i != column]
