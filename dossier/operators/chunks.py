@@ -102,4 +102,4 @@ def anchor_text(page: Column, last: Column, converted: Column) -> Column:
     """A page anchor as it is written; without a page it says so."""
     name = F.when(converted, "转换稿").otherwise("")
     pages = F.when(last.isNotNull() & (last != page), F.concat_ws("-", page.cast("string"), last.cast("string"))).otherwise(page.cast("string"))
-    return F.when(page.isNull(), "页码未知").otherwise(F.concat(F.lit("【"), name, F.lit("第"), pages, F.lit("页】")))
+    return F.when(page.isNull(), "页码未知").otherwise(F.concat(F.lit("【"), name, F.lit("第 "), pages, F.lit(" 页】")))

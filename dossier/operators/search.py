@@ -120,16 +120,17 @@ def first_winning(items: dict[str, list[str]], rounds: list[DataFrame]) -> DataF
     return hits.withColumn("__first", first).where((F.col("round") == F.col("__first.round")) & (F.col("turn") == F.col("__first.turn"))).drop("__first", "turn")
 
 
-def _grams(c: Column, gram: int) -> Column:
+def grams(c: Column, gram: int) -> Column:
+    """Hashes of all strings of so many characters in a text."""
     # A look-ahead steps through a text once; cutting out each gram by its place would start over each time.
     return F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
 
 
 def existence(quotes: DataFrame, corpus: DataFrame, quote: str, text: str, keys: list[str], gram: int = 6) -> DataFrame:
     """Share of each quote's distinct grams that the corpus has, by an equality join of hashed grams."""
-    own = quotes.where(F.length(quote) >= gram).select(*keys, F.explode(F.array_distinct(_grams(F.col(quote), gram))).alias("gram"))
+    own = quotes.where(F.length(quote) >= gram).select(*keys, F.explode(F.array_distinct(grams(F.col(quote), gram))).alias("gram"))
     wanted = own.select("gram").distinct()
-    there = corpus.where(F.length(text) >= gram).select(F.explode(_grams(F.col(text), gram)).alias("gram")).join(wanted, "gram", "left_semi").distinct()
+    there = corpus.where(F.length(text) >= gram).select(F.explode(grams(F.col(text), gram)).alias("gram")).join(wanted, "gram", "left_semi").distinct()
     found = own.join(there.withColumn("there", F.lit(1)), "gram", "left")
     return found.groupBy(*keys).agg(F.count("*").alias("grams"), F.count("there").alias("found"))
 
@@ -145,7 +146,7 @@ def quote_classes(quotes: DataFrame, corpus: DataFrame, quote: str, text: str, k
     held = []
     for n in sizes:
         first = given.where(F.col("__n") == n).withColumn("gram", F.xxhash64(F.substring("__q", 1, n)))
-        places = corpus.select(F.col(text).alias("__t"), F.explode(F.array_distinct(_grams(F.col(text), n))).alias("gram"))
+        places = corpus.select(F.col(text).alias("__t"), F.explode(F.array_distinct(grams(F.col(text), n))).alias("gram"))
         wanted = first.select("gram").distinct()
         texts = places.join(wanted, "gram", "left_semi")
         held.append(first.join(texts, "gram").where(F.col("__t").contains(F.col("__q"))).select(*keys).distinct())

@@ -164,7 +164,7 @@ def tables_across_pages(t: Tables) -> DataFrame:
     return chunks.tables(lines, ["o_custkey"], "line", cells, F.col("o_orderstatus") == "P").select("o_custkey", "first", "last", "rows")
 
 
-@_r.add("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '页码未知' ELSE '【' || CASE WHEN p_size % 2 = 0 THEN '转换稿' ELSE '' END || '第' || p_size || CASE WHEN p_size % 3 = 0 THEN '-' || (p_size + 2) ELSE '' END || '页】' END AS anchor FROM part")
+@_r.add("SELECT p_partkey, CASE WHEN p_size % 5 = 0 THEN '页码未知' ELSE '【' || CASE WHEN p_size % 2 = 0 THEN '转换稿' ELSE '' END || '第 ' || p_size || CASE WHEN p_size % 3 = 0 THEN '-' || (p_size + 2) ELSE '' END || ' 页】' END AS anchor FROM part")
 def anchors_written(t: Tables) -> DataFrame:
     page = F.when(F.col("p_size") % 5 != 0, F.col("p_size"))
     return t("part").select("p_partkey", chunks.anchor_text(page, F.when(F.col("p_size") % 3 == 0, page + 2).otherwise(page), F.col("p_size") % 2 == 0).alias("anchor"))
