@@ -1,4 +1,4 @@
-"""SQL that says the same as queries op3, op4, op5, op9 and op10, for tables of a few thousand documents."""
+"""SQL that says the same as queries op3, op4, op5 and op9 to op13, for tables of a few thousand documents."""
 
 _WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
 # Lower case for A to Z alone.
@@ -56,3 +56,33 @@ c AS (SELECT doc_id, list(DISTINCT i) AS gone FROM (SELECT doc_id, unnest(range(
 k AS (SELECT doc_id, w, coalesce(gone, []) AS gone FROM x LEFT JOIN c USING (doc_id)),
 e AS (SELECT doc_id, string_agg(v, ' ' ORDER BY i) AS kept FROM (SELECT k.doc_id, unnest(w) AS v, unnest(range(1, len(w) + 1)) AS i FROM k) u WHERE NOT EXISTS (SELECT 1 FROM (SELECT doc_id, unnest(gone) AS j FROM c) y WHERE y.doc_id = u.doc_id AND y.j = u.i) GROUP BY doc_id)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM k LEFT JOIN e USING (doc_id)"""
+
+
+def _hash(x: str) -> str:
+    return f"CAST('0x' || substr(md5({x}), 1, 15) AS BIGINT)"
+
+
+# o: sources in order; q: those that stop at twice their words come first, by words for each unit of weight.
+MIXED = f"""WITH d AS (SELECT doc_id, source, len({_WORDS.format("coalesce(text, '')")}) AS size, {_hash("coalesce(CAST(doc_id AS VARCHAR), '') || '/' || coalesce(text, '')")} AS h FROM documents),
+o AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY source),
+w AS (SELECT *, [3, 1, 2][k % 3 + 1] AS w, CAST(sum(words) OVER () AS BIGINT) AS total FROM o),
+q AS (SELECT *, coalesce(sum(2 * words) OVER (ORDER BY words / w, k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below, sum(w) OVER (ORDER BY words / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above FROM w),
+c AS (SELECT *, w * (3 * total - 2 * below) > 4 * words * above AS stops FROM q),
+g AS (SELECT *, CASE WHEN stops THEN CAST(2 * words AS DOUBLE) ELSE CAST(w * (3 * total - 2 * coalesce(sum(2 * words) FILTER (WHERE stops) OVER (), 0)) AS DOUBLE) / (2 * sum(w) FILTER (WHERE NOT stops) OVER ()) END AS target, (words + 63) // 64 AS blocks FROM c),
+f AS (SELECT *, CAST(floor(target / greatest(1, words)) AS BIGINT) AS whole FROM g),
+p AS (SELECT *, whole * blocks + least(blocks, CAST(floor((target - whole * words) / 64 + 0.5) AS BIGINT)) AS slots FROM f),
+i AS (SELECT *, CAST(sum(slots) OVER (ORDER BY k) - slots AS HUGEINT) * 1152921504606846976 // sum(slots) OVER () AS low, CAST(sum(slots) OVER (ORDER BY k) AS HUGEINT) * 1152921504606846976 // sum(slots) OVER () AS high FROM p WHERE slots > 0),
+x AS (SELECT pos, {_hash("'mix/slot/' || pos")} AS u FROM (SELECT unnest(range((SELECT CAST(sum(slots) AS BIGINT) FROM p))) AS pos)),
+n AS (SELECT pos, k, row_number() OVER (PARTITION BY k ORDER BY pos) - 1 AS number FROM x JOIN i ON u >= low AND u < high),
+t AS (SELECT p.k, blocks, slots, coalesce(got, 0) AS got, greatest(0, coalesce(got, 0) - slots) AS over, greatest(0, slots - coalesce(got, 0)) AS short FROM p LEFT JOIN (SELECT k, count(*) AS got FROM n GROUP BY k) y ON y.k = p.k),
+m AS (SELECT *, sum(over) OVER (ORDER BY k) - over AS over_from, sum(short) OVER (ORDER BY k) - short AS short_from FROM t),
+spare AS (SELECT number - slots + over_from AS spare FROM n JOIN m USING (k) WHERE number >= slots),
+a AS (SELECT k, number, blocks FROM n JOIN m USING (k) WHERE number < slots UNION ALL SELECT k, got + spare - short_from, blocks FROM spare JOIN m ON spare >= short_from AND spare < short_from + short),
+e AS (SELECT k, CAST(number // blocks AS INTEGER) AS pass, CAST(number % blocks AS BIGINT) AS pos, CAST(blocks AS BIGINT) AS blocks FROM a),
+b AS (SELECT k, list_reduce(list_concat([pos], range(16)), lambda z, r: CASE WHEN ascii(md5('mix/bit/' || k || '/' || pass || '/' || r || '/' || greatest(z, ({_hash("'mix/key/' || k || '/' || pass || '/' || r")} % blocks - z + blocks) % blocks))) % 2 = 1
+ THEN ({_hash("'mix/key/' || k || '/' || pass || '/' || r")} % blocks - z + blocks) % blocks ELSE z END) AS block FROM e),
+times AS (SELECT k, block, count(*) AS times FROM b GROUP BY k, block),
+s AS (SELECT row_number() OVER () AS r, doc_id, size, k, sum(size) OVER (PARTITION BY k ORDER BY h, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS start FROM d JOIN o ON d.source IS NOT DISTINCT FROM o.source),
+pieces AS (SELECT r, k, start, size, unnest(range(CAST(start // 64 AS BIGINT), CAST((start + size - 1) // 64 + 1 AS BIGINT))) AS block FROM s WHERE size > 0),
+taken AS (SELECT r, sum(times * (least(start + size, 64 * block + 64) - greatest(start, 64 * block))) AS taken FROM pieces JOIN times USING (k, block) GROUP BY r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, words AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM s JOIN g USING (k) LEFT JOIN taken USING (r)"""

@@ -1,4 +1,4 @@
-"""Queries op1 to op10 and the SQL that says the same, where SQL can."""
+"""Queries op1 to op13 and the SQL that says the same, where SQL can."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leaks, minhash, oracles, pages, phrases, pieces, pii, quality, secrets, shards, suffixes
+from . import leaks, minhash, mixing, oracles, pages, phrases, pieces, pii, quality, secrets, shards, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_report(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_secret_scans": op2_secret_scans,
@@ -64,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op13_source_mixing": op13_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
     "op3_minhash_near_dedup": oracles.NEAR,
@@ -71,4 +76,5 @@ ORACLE_SQL: dict[str, str] = {
     "op5_sharding": oracles.SHARDS,
     "op9_suffix_array_dedup": oracles.BYTES,
     "op10_substring_dedup": oracles.PASSAGES,
+    "op13_source_mixing": oracles.MIXED,
 }
