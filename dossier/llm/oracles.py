@@ -86,3 +86,22 @@ s AS (SELECT row_number() OVER () AS r, doc_id, size, k, sum(size) OVER (PARTITI
 pieces AS (SELECT r, k, start, size, unnest(range(CAST(start // 64 AS BIGINT), CAST((start + size - 1) // 64 + 1 AS BIGINT))) AS block FROM s WHERE size > 0),
 taken AS (SELECT r, sum(times * (least(start + size, 64 * block + 64) - greatest(start, 64 * block))) AS taken FROM pieces JOIN times USING (k, block) GROUP BY r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, words AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken FROM s JOIN g USING (k) LEFT JOIN taken USING (r)"""
+
+
+def _codes(rounds: int = 4) -> str:
+    """Parts of vectors (v), codebooks after each round (e0, e1, ...), and the nearest entries (a0, a1, ...)."""
+    near = """a{k} AS MATERIALIZED (SELECT r, part, arg_min(i, (d, i)) AS i, min(d) AS d FROM (SELECT r, v.part, i, list_inner_product(x, x) - 2 * list_inner_product(x, y) + list_inner_product(y, y) AS d FROM v JOIN e{k} ON v.part = e{k}.part) GROUP BY r, part)"""
+    means = """m{k} AS (SELECT part, i, j, floor(sum(z) / count(*)) AS z FROM (SELECT part, i, unnest(x) AS z, unnest(range(len(x))) AS j FROM a{k} JOIN v USING (r, part)) GROUP BY ALL),
+e{n} AS MATERIALIZED (SELECT part, i, coalesce(n.y, o.y) AS y FROM e{k} o LEFT JOIN (SELECT part, i, list(z ORDER BY j) AS y FROM m{k} GROUP BY part, i) n USING (part, i))"""
+    steps = ",\n".join(f"{near.format(k=k)},\n{means.format(k=k, n=k + 1)}" for k in range(rounds))
+    return f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) - 1 AS r, vec_id, label, [floor(1024 * CAST(x AS DOUBLE)) for x in embedding] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+v AS MATERIALIZED (SELECT r, part, x[part * len(x) // 4 + 1:(part + 1) * len(x) // 4] AS x FROM k, range(4) AS p(part)),
+e0 AS MATERIALIZED (SELECT part, r AS i, x AS y FROM v WHERE r < 256),
+{steps},
+{near.format(k=rounds)},
+s AS (SELECT sha256(array_to_string(list(CAST(y AS BIGINT[]) ORDER BY part, i).flatten(), ',')) AS codebooks_sha256 FROM e{rounds}),
+c AS (SELECT r, string_agg(printf('%02x', CAST(i AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error FROM a{rounds} GROUP BY r)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM k JOIN c USING (r), s"""
+
+
+CODES = _codes()

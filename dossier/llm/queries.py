@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import leaks, minhash, mixing, oracles, pages, phrases, pieces, pii, quality, secrets, shards, suffixes
+from . import codes, leaks, minhash, mixing, oracles, pages, phrases, pieces, pii, quality, secrets, shards, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.code_report(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(_table(spark, sf_dir, "documents"))
 
@@ -68,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op12_vector_codes": op12_vector_codes,
     "op13_source_mixing": op13_source_mixing,
 }
 ORACLE_SQL: dict[str, str] = {
@@ -76,5 +81,6 @@ ORACLE_SQL: dict[str, str] = {
     "op5_sharding": oracles.SHARDS,
     "op9_suffix_array_dedup": oracles.BYTES,
     "op10_substring_dedup": oracles.PASSAGES,
+    "op12_vector_codes": oracles.CODES,
     "op13_source_mixing": oracles.MIXED,
 }
