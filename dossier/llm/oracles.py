@@ -105,3 +105,18 @@ SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT)
 
 
 CODES = _codes()
+
+
+DIVERGENCE = f"""WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, list_filter(regexp_split_to_array({_LOWER.format("coalesce(text, '')")}, '[\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '') AS w FROM documents),
+t AS (SELECT r, lang, source, unnest(w) AS t FROM d), g AS (SELECT DISTINCT lang, source FROM d),
+k AS (SELECT lang, t FROM t GROUP BY lang, t HAVING count(DISTINCT r) >= 3),
+c AS (SELECT lang, source, t, count(*) AS n FROM t JOIN k USING (lang, t) GROUP BY ALL),
+x AS (SELECT lang, source, t, coalesce(n, 0) AS n FROM g JOIN k USING (lang) LEFT JOIN c USING (lang, source, t)),
+p AS (SELECT lang, source, t, n, 1 + 1000000000 * (n + 1) // (sum(n) OVER (PARTITION BY lang, source) + count(*) OVER (PARTITION BY lang, source)) AS p FROM x),
+y AS (SELECT lang, t, sum(n) AS n FROM x GROUP BY lang, t),
+q AS (SELECT lang, t, 1 + 1000000000 * (n + 1) // (sum(n) OVER (PARTITION BY lang) + count(*) OVER (PARTITION BY lang)) AS q FROM y),
+s AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL),
+z AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+UNION ALL SELECT lang, source, 'term', t, (p - q) * (p - q) // q FROM p JOIN q USING (lang, t) WHERE n > 0 AND p > q),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM z)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM o WHERE part = 'pair' OR rank <= 200"""

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import codes, leaks, minhash, mixing, oracles, pages, phrases, pieces, pii, quality, secrets, shards, suffixes
+from . import codes, divergence, leaks, minhash, mixing, oracles, pages, phrases, pieces, pii, quality, secrets, shards, suffixes
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.repeated_passages(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codes.code_report(_table(spark, sf_dir, "embeddings"))
 
@@ -72,6 +76,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_substring_dedup": op10_substring_dedup,
+    "op11_source_divergence": op11_source_divergence,
     "op12_vector_codes": op12_vector_codes,
     "op13_source_mixing": op13_source_mixing,
 }
@@ -81,6 +86,7 @@ ORACLE_SQL: dict[str, str] = {
     "op5_sharding": oracles.SHARDS,
     "op9_suffix_array_dedup": oracles.BYTES,
     "op10_substring_dedup": oracles.PASSAGES,
+    "op11_source_divergence": oracles.DIVERGENCE,
     "op12_vector_codes": oracles.CODES,
     "op13_source_mixing": oracles.MIXED,
 }
