@@ -74,9 +74,10 @@ def corrected_pages(citations: DataFrame, pages: DataFrame, keys: list[str], fil
     """
     first = lambda c: F.xxhash64(F.substring(c, 1, LEAST_QUOTE))
     asked = citations.where((F.length(quote) >= LEAST_QUOTE) & F.col(page).isNotNull()).select(*dict.fromkeys([*keys, file]), F.col(page).alias("__cited"), F.col(quote).alias("__quote"), first(quote).alias("__gram"))
-    places = pages.select(file, F.col(page).alias("__at"), F.col(text).alias("__text"), F.explode(F.array_distinct(grams(F.col(text), LEAST_QUOTE))).alias("__gram"))
-    some = places.join(asked.select(file, "__gram").distinct(), [file, "__gram"], "left_semi")
-    held = asked.join(some, [file, "__gram"]).where(F.col("__text").contains(F.col("__quote")))
+    texts = pages.select(file, F.col(page).alias("__at"), F.col(text).alias("__text"))
+    places = texts.select(file, "__at", F.explode(F.array_distinct(grams(F.col("__text"), LEAST_QUOTE))).alias("__gram"))  # no text beside its grams
+    some = places.join(asked.select(file, "__gram").distinct(), [file, "__gram"], "left_semi").distinct()
+    held = asked.join(some, [file, "__gram"]).drop("__gram").join(texts, [file, "__at"]).where(F.col("__text").contains(F.col("__quote")))
     found = held.groupBy(*keys).agg(F.min("__at").alias("__low"), F.max("__at").alias("__high"), F.bool_or(F.col("__at") == F.col("__cited")).alias("__there"))
     d = citations.join(found, keys, "left")
     status = F.when(F.col("__there"), "page_ok").when(F.col("__low") == F.col("__high"), "page_corrected").otherwise("page_unverified")

@@ -122,40 +122,59 @@ def first_winning(items: dict[str, list[str]], rounds: list[DataFrame]) -> DataF
 
 def grams(c: Column, gram: int) -> Column:
     """Hashes of all strings of so many characters in a text."""
-    # A look-ahead steps through a text once; cutting out each gram by its place would start over each time.
-    return F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{gram}}}))"), F.lit(1)), lambda g: F.xxhash64(g))
+    # A look-ahead steps through a text once, by whole characters; cutting out each gram by its place would start over each time.
+    return F.transform(F.regexp_extract_all(c, F.lit(f"(?s)(?=(.{{{gram}}}))."), F.lit(1)), lambda g: F.xxhash64(g))
 
 
 def existence(quotes: DataFrame, corpus: DataFrame, quote: str, text: str, keys: list[str], gram: int = 6) -> DataFrame:
-    """Share of each quote's distinct grams that the corpus has, by an equality join of hashed grams."""
+    """(keys, grams, found): how many distinct grams a quote has and how many of them the corpus has, by an equality join of hashed grams.
+
+    A quote shorter than a gram has none.  keys have to be unique.
+    """
     own = quotes.where(F.length(quote) >= gram).select(*keys, F.explode(F.array_distinct(grams(F.col(quote), gram))).alias("gram"))
     wanted = own.select("gram").distinct()
     there = corpus.where(F.length(text) >= gram).select(F.explode(grams(F.col(text), gram)).alias("gram")).join(wanted, "gram", "left_semi").distinct()
     found = own.join(there.withColumn("there", F.lit(1)), "gram", "left")
-    return found.groupBy(*keys).agg(F.count("*").alias("grams"), F.count("there").alias("found"))
+    return with_none(quotes, found.groupBy(*keys).agg(F.count("*").alias("grams"), F.count("there").alias("found")), keys)
 
 
-def quote_classes(quotes: DataFrame, corpus: DataFrame, quote: str, text: str, keys: list[str], gram: int = 6, resolved: float = 0.65, absent: float = 0.3) -> DataFrame:
-    """(keys, ratio, class) of every quote: 1 where a text contains it, else the share of its grams that texts have, 0 for one no longer than a gram.
+def with_none(quotes: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts of all quotes: 0 for those that have no gram."""
+    return quotes.select(*keys).join(counts, keys, "left").fillna(0, ["grams", "found"])
+
+
+def classified(quotes: DataFrame, quote: str, keys: list[str], whole: DataFrame, shares: DataFrame, gram: int, resolved: float, absent: float) -> DataFrame:
+    """(keys, ratio, class) by the quotes that some text has as a whole, and the counts of grams of the others."""
+    d = quotes.select(*keys, F.coalesce(F.col(quote), F.lit("")).alias("__q")).join(whole.withColumn("__whole", F.lit(True)), keys, "left").join(shares.select(*keys, (F.col("found") / F.nullif("grams", F.lit(0))).alias("__share")), keys, "left")
+    ratio = F.when(F.col("__whole"), 1.0).when(F.length("__q") <= gram, 0.0).otherwise(F.coalesce("__share", F.lit(0.0)))
+    label = F.when(F.col("ratio") >= resolved, "resolved").when(F.col("ratio") <= absent, "unresolved").otherwise("weak_match")
+    return d.select(*keys, ratio.alias("ratio")).withColumn("class", label)
+
+
+def held_whole(quotes: DataFrame, corpus: DataFrame, quote: str, text: str, keys: list[str], gram: int = 6) -> DataFrame:
+    """(keys) of the quotes that some text contains.
 
     Texts that may contain a quote are found by its first gram (or by the whole of a shorter one), so there is a join of
-    equal hashes for each length up to a gram, and none of all pairs.
+    equal hashes for each length up to a gram, and none of all pairs.  Grams go with a hash of their text alone; a text is
+    read again, once, where it has a gram that is looked for.
     """
     given = quotes.select(*keys, F.coalesce(F.col(quote), F.lit("")).alias("__q")).withColumn("__n", F.least(F.length("__q"), F.lit(gram)))
+    texts = corpus.select(F.col(text).alias("__t"), F.xxhash64(text).alias("__of"))
     sizes = sorted(r[0] for r in given.select("__n").distinct().collect() if r[0])  # as many as a gram has characters
     held = []
     for n in sizes:
         first = given.where(F.col("__n") == n).withColumn("gram", F.xxhash64(F.substring("__q", 1, n)))
-        places = corpus.select(F.col(text).alias("__t"), F.explode(F.array_distinct(grams(F.col(text), n))).alias("gram"))
-        wanted = first.select("gram").distinct()
-        texts = places.join(wanted, "gram", "left_semi")
-        held.append(first.join(texts, "gram").where(F.col("__t").contains(F.col("__q"))).select(*keys).distinct())
-    whole = reduce(DataFrame.union, held) if held else given.select(*keys).where(F.lit(False))
-    shares = existence(quotes, corpus, quote, text, keys, gram).withColumn("__share", F.col("found") / F.col("grams"))
-    d = given.join(whole.withColumn("__whole", F.lit(True)), keys, "left").join(shares.select(*keys, "__share"), keys, "left")
-    ratio = F.when(F.col("__whole"), 1.0).when(F.length("__q") <= gram, 0.0).otherwise(F.coalesce("__share", F.lit(0.0)))
-    label = F.when(F.col("ratio") >= resolved, "resolved").when(F.col("ratio") <= absent, "unresolved").otherwise("weak_match")
-    return d.select(*keys, ratio.alias("ratio")).withColumn("class", label)
+        places = texts.select("__of", F.explode(F.array_distinct(grams(F.col("__t"), n))).alias("gram"))
+        some = places.join(first.select("gram").distinct(), "gram", "left_semi").distinct()
+        asked = first.select(*keys, "__q", "gram").join(some, "gram").drop("gram")
+        held.append(asked.join(texts, "__of").where(F.col("__t").contains(F.col("__q"))).select(*keys).distinct())
+    return reduce(DataFrame.union, held) if held else given.select(*keys).where(F.lit(False))
+
+
+def quote_classes(quotes: DataFrame, corpus: DataFrame, quote: str, text: str, keys: list[str], gram: int = 6, resolved: float = 0.65, absent: float = 0.3) -> DataFrame:
+    """(keys, ratio, class) of every quote: 1 where a text contains it, else the share of its grams that texts have, 0 for one no longer than a gram."""
+    whole = held_whole(quotes, corpus, quote, text, keys, gram)
+    return classified(quotes, quote, keys, whole, existence(quotes, corpus, quote, text, keys, gram), gram, resolved, absent)
 
 
 def layer_stats(chunks: DataFrame, layer: str, text: str) -> DataFrame:

@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _written(df: DataFrame, base: str) -> DataFrame:
-    path = f"{base}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from dossier.sources.scratch import folder, new_folder, written
 
 
 def closure(nodes: DataFrame, node: str, parent: str) -> DataFrame:
@@ -21,26 +15,26 @@ def closure(nodes: DataFrame, node: str, parent: str) -> DataFrame:
 
     A parent that isn't a node ends a path; so does a circle, where no pair is new.  Distances double each round: the
     pairs at exactly the greatest distance so far are joined with all pairs above them, and what comes of a round is
-    written to spark.checkpoint.dir (a folder of our own where none is set), so neither rows nor levels are limited.
+    written to a folder that is deleted at the end, so neither rows nor levels are limited.  The result is a table in spark.checkpoint.dir.
     """
     spark = nodes.sparkSession
-    there = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-dossier-")
-    base = f"{there.rstrip('/')}/dossier-closure-{uuid.uuid4().hex}"
-    given = _written(nodes.select(F.col(node).alias("id"), F.col(parent).alias("up")).distinct(), base)
-    ids = given.select("id").distinct()
-    own = ids.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("distance"))
-    edges = given.join(ids.select(F.col("id").alias("ancestor")), F.col("up") == F.col("ancestor")).where("id != up")
-    above = [_written(edges.select("ancestor", F.col("id").alias("descendant"), F.lit(1).alias("distance")), base)]
-    reach = 1
-    while not above[-1].isEmpty():
-        pairs = reduce(DataFrame.union, above)
-        # A shortest path of more than `reach` steps has a node after exactly `reach` of them.
-        lower = above[-1].where(F.col("distance") == reach).select(F.col("ancestor").alias("middle"), "descendant")
-        upper = pairs.select("ancestor", F.col("descendant").alias("middle"), "distance")
-        further = lower.join(upper, "middle").where("ancestor != descendant").groupBy("ancestor", "descendant").agg((F.min("distance") + reach).alias("distance"))
-        above.append(_written(further.join(pairs, ["ancestor", "descendant"], "left_anti"), base))
-        reach *= 2
-    return reduce(DataFrame.union, [_written(own, base), *above])
+    with folder(spark, "closure") as base:
+        put = lambda df, name: written(df, f"{base}/{name}")
+        given = put(nodes.select(F.col(node).alias("id"), F.col(parent).alias("up")).distinct(), "given")
+        ids = given.select("id").distinct()
+        own = ids.select(F.col("id").alias("ancestor"), F.col("id").alias("descendant"), F.lit(0).alias("distance"))
+        edges = given.join(ids.select(F.col("id").alias("ancestor")), F.col("up") == F.col("ancestor")).where("id != up")
+        above = [put(edges.select("ancestor", F.col("id").alias("descendant"), F.lit(1).alias("distance")), 1)]
+        reach = 1
+        while not above[-1].isEmpty():
+            pairs = reduce(DataFrame.union, above)
+            # A shortest path of more than `reach` steps has a node after exactly `reach` of them.
+            lower = above[-1].where(F.col("distance") == reach).select(F.col("ancestor").alias("middle"), "descendant")
+            upper = pairs.select("ancestor", F.col("descendant").alias("middle"), "distance")
+            further = lower.join(upper, "middle").where("ancestor != descendant").groupBy("ancestor", "descendant").agg((F.min("distance") + reach).alias("distance"))
+            reach *= 2
+            above.append(put(further.join(pairs, ["ancestor", "descendant"], "left_anti"), reach))
+        return written(reduce(DataFrame.union, [own, *above]), new_folder(spark, "pairs"))
 
 
 def descendant_counts(pairs: DataFrame) -> DataFrame:

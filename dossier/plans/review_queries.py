@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from dossier.operators import chunks, compare, lookups, search
 
 from .registry import Registry, Tables
+from .text_queries import document_index
 
 _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
@@ -174,7 +175,7 @@ def anchors_written(t: Tables) -> DataFrame:
 FROM documents, (SELECT unnest(['zu', 'ou']) AS q) WHERE contains(lower(text), q) AND lang <> 'fr') WHERE place <= 10""")
 def dual_search_short(t: Tables) -> DataFrame:
     """Queries of two characters are scans in document order, within a scope."""
-    return search.dual_search(t("documents"), "text", ["zu", "OU "], ["doc_id"], "doc_id", scope=F.col("lang") != "fr").select(F.lower("query").alias("query"), "doc_id", "place")
+    return document_index(t).search(["zu", "OU "], "doc_id", scope=F.col("lang") != "fr").select(F.lower("query").alias("query"), "doc_id", "place")
 
 
 _BM25 = """st AS (SELECT count(*) AS n, avg(greatest(length(text) - 2, 0)) AS av FROM documents), ph AS ({phrases}),
@@ -187,14 +188,14 @@ SELECT q AS query, doc_id, round(score, 6) AS score FROM (SELECT *, row_number()
 @_r.add("WITH " + _BM25.format(phrases="SELECT unnest(['the whe', 'the whe', 'ment']) AS q, unnest(['the', 'whe', 'ment']) AS p"))
 def dual_search(t: Tables) -> DataFrame:
     """Longer queries are ranked by BM25 over their words, within a scope; statistics are those of all rows."""
-    found = search.dual_search(t("documents"), "text", ["the whe", "ment"], ["doc_id"], "doc_id", scope=~lookups.any_of(F.col("source") == "src1"))
+    found = document_index(t).search(["the whe", "ment"], "doc_id", scope=~lookups.any_of(F.col("source") == "src1"))
     return found.select("query", "doc_id", F.round("score", 6).alias("score"))
 
 
 @_r.add("WITH " + _BM25.format(phrases="SELECT 'and whe the' AS q, unnest(['nthexx']) AS p UNION ALL SELECT 'elttheren' AS q, unnest(['elttheren'[i:i+5] for i in range(1, 5)]) AS p"))
 def overlap_search(t: Tables) -> DataFrame:
     """Queries that no document has whole, by their own windows of six characters without white space."""
-    found = search.dual_search(t("documents"), "text", ["and whe the", "elttheren"], ["doc_id"], "doc_id", scope=F.col("source") != "src1", overlap=True)
+    found = document_index(t).search(["and whe the", "elttheren"], "doc_id", scope=F.col("source") != "src1", overlap=True)
     return found.select("query", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -207,7 +208,7 @@ def first_winning_layer(t: Tables) -> DataFrame:
     """English documents are the first layer, French the second; the first query of the first layer that finds any wins."""
     items = {"a": ["qqqq", "ou"], "b": ["zu"]}
     every = [q for qs in items.values() for q in qs]
-    rounds = [search.dual_search(t("documents"), "text", every, ["doc_id"], "doc_id", scope=F.col("lang") == lang) for lang in ("en", "fr")]
+    rounds = [document_index(t).search(every, "doc_id", scope=F.col("lang") == lang) for lang in ("en", "fr")]
     return search.first_winning(items, rounds).select("item", "query", "doc_id", "round")
 
 
@@ -218,7 +219,7 @@ SELECT item_id, round(CAST(ratio AS DOUBLE), 6) AS ratio, CASE WHEN ratio >= 0.6
 def quote_classes(t: Tables) -> DataFrame:
     k = F.col("item_id") % 4
     quote = F.when(k == 0, F.substring("text", 1, 4)).when(k == 1, "zq9").when(k == 2, F.substring("text", 1, 20)).otherwise(F.concat(F.substring("text", 1, 12), F.lit("Q" * 26)))
-    out = search.quote_classes(t("benchmark").select("item_id", quote.alias("quote")), t("documents"), "quote", "text", ["item_id"])
+    out = document_index(t).quote_classes(t("benchmark").select("item_id", quote.alias("quote")), "quote", ["item_id"])
     return out.select("item_id", F.round("ratio", 6).alias("ratio"), "class")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dossier.operators import drafts, search
+from dossier.operators.postings import Index, index_of
 
 from .registry import Registry, Tables
 
@@ -16,6 +17,11 @@ QUERIES, ORACLE_SQL = _r.queries, _r.sql
 PHRASES = {"licence": ["licensed under"], "law": ["of the", "and the"], "french": ["que le"], "spanish": ["ción de", "por la"]}
 
 
+def document_index(t: Tables) -> Index:
+    """The index that all search queries read."""
+    return index_of(t("documents"), ["doc_id"], ["lang", "source"])
+
+
 def _bm25_sql(k: int) -> str:
     one = "CASE WHEN {tf} = 0 THEN 0 ELSE greatest(ln((n - {df} + 0.5) / ({df} + 0.5)), 1e-6) * {tf} * 2.2 / ({tf} + 1.2 * (0.25 + 0.75 * size / average)) END"
     phrases = sorted({p for ps in PHRASES.values() for p in ps})
@@ -30,7 +36,7 @@ SELECT query, doc_id, round(score, 6) AS score FROM r WHERE place <= {k}"""
 
 @_r.add(_bm25_sql(3))
 def bm25_topk(t: Tables) -> DataFrame:
-    scored = search.bm25(t("documents"), "text", PHRASES, ["doc_id"])
+    scored = document_index(t).bm25(PHRASES)
     return search.top_k(scored, 3, ["doc_id"]).select("query", "doc_id", F.round("score", 6).alias("score"))
 
 
@@ -41,9 +47,9 @@ def substring_scan(t: Tables) -> DataFrame:
 
 @_r.add("""WITH q AS (SELECT item_id, text FROM benchmark WHERE length(text) >= 6), g AS (SELECT DISTINCT item_id, substr(text, i, 6) AS w FROM q, generate_series(1, length(text) - 5) AS s(i)),
 c AS (SELECT DISTINCT substr(text, i, 6) AS w FROM documents, generate_series(1, length(text) - 5) AS s(i))
-SELECT item_id, CAST(count(*) AS BIGINT) AS grams, CAST(count(c.w) AS BIGINT) AS found FROM g LEFT JOIN c ON g.w = c.w GROUP BY item_id""")
+SELECT item_id, CAST(count(g.w) AS BIGINT) AS grams, CAST(count(c.w) AS BIGINT) AS found FROM benchmark LEFT JOIN g USING (item_id) LEFT JOIN c ON g.w = c.w GROUP BY item_id""")
 def kgram_existence(t: Tables) -> DataFrame:
-    return search.existence(t("benchmark"), t("documents"), "text", "text", ["item_id"])
+    return document_index(t).existence(t("benchmark"), "text", ["item_id"])
 
 
 @_r.add("""SELECT doc_id, CAST(count(*) AS BIGINT) AS lines, CAST(max(length(l)) AS INTEGER) AS longest, CAST(count(DISTINCT l) AS BIGINT) AS distinct_lines
