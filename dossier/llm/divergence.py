@@ -26,6 +26,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Callable, Iterator
 from itertools import chain
 
@@ -41,28 +42,56 @@ from .shared import prepare, written
 LEAST, RANKS, LONG = 3, 200, 64
 #: Terms of the automaton that every task has, characters of a bucket's, and how many groups of documents are broadcast.
 HEAD_TERMS, BUCKET_CHARS, MOST_GROUPS = 200_000, 1 << 21, 1 << 16
-#: Counts and characters that a task holds before it hands them on.
-HELD_COUNTS, HELD_CHARS = 1 << 20, 1 << 24
+#: Terms, occurrences and characters that a task holds before it hands them on.
+HELD_TERMS, HELD_COUNTS, HELD_CHARS = 1 << 20, 1 << 22, 1 << 24
 BILLION = 1_000_000_000
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_APART = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: All ASCII but letters becomes a space, A to Z lower case.
 _PLAIN = bytes(b if b >= 128 or chr(b).islower() else b + 32 if chr(b).isupper() else 32 for b in range(256))
 _OVERLONG = re.compile(f"[^ ]{{{LONG + 1},}}")
 _SCANNED = "lang string, source string, key string, n long, bucket long, words string"
 
 
-def plain_text(data: bytes) -> str:
-    """Terms of a text between single or more spaces, with a space at both ends; overlong terms as their keys."""
+def plain_text(data: bytes, longs: dict[str, str] | None = None) -> str:
+    """Terms of a text between single or more spaces, with a space at both ends; overlong terms as their keys, noted in longs."""
     text = f" {data.translate(_PLAIN).decode()} "
-    return _OVERLONG.sub(lambda m: "0" + hashlib.sha256(m[0].encode()).hexdigest(), text)
 
+    def key(m: re.Match) -> str:
+        k = "0" + hashlib.sha256(m[0].encode()).hexdigest()
+        if longs is not None:
+            longs[k] = m[0]
+        return k
 
-def document_terms(docs: DataFrame) -> DataFrame:
-    """lang, key, long: a row for each term of each document; long is the term itself where the key is its hash."""
-    terms = F.array_distinct(F.split(F.translate("text", _UPPER, _LOWER), _APART))
-    each = docs.select("lang", F.explode(terms).alias("term")).where("term <> ''")
-    over = F.length("term") > LONG
-    return each.select("lang", F.when(over, F.concat(F.lit("0"), F.sha2("term", 256))).otherwise(F.col("term")).alias("key"), F.when(over, F.col("term")).alias("long"))
+    return _OVERLONG.sub(key, text)
+
+
+def _frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, key, long, df): in how many documents of a task a term is."""
+
+    def out() -> pa.RecordBatch:
+        sizes = [len(c) for c in held.values()]
+        keys = list(chain.from_iterable(held.values()))
+        lang = pa.array(list(held), pa.string()).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
+        df = pa.array(np.fromiter(chain.from_iterable(c.values() for c in held.values()), np.int64, len(keys)))
+        return pa.RecordBatch.from_arrays([lang, pa.array(keys, pa.string()), pa.array([longs.get(k) for k in keys] if longs else [None] * len(keys), pa.string()), df], ["lang", "key", "long", "df"])
+
+    held: dict[str, Counter[str]] = {}
+    longs: dict[str, str] = {}
+    for batch in batches:
+        for part, texts in R.slices(batch):
+            for lang, text in zip(part.column(0).to_pylist(), texts.to_pylist(), strict=True):
+                terms = set(plain_text(text.encode(), longs).split(" "))
+                terms.discard("")
+                held.setdefault(lang, Counter()).update(terms)
+            if sum(map(len, held.values())) > HELD_TERMS or sum(map(len, longs.values())) > HELD_CHARS:
+                yield out()
+                held, longs = {}, {}
+    yield out()
+
+
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """lang, key, long, df: of each term in how many documents of its language it is; long is the term itself where the key is its hash."""
+    found = docs.select("lang", "text").mapInArrow(_frequencies, "lang string, key string, long string, df long")
+    return found.groupBy("lang", "key", "long").agg(F.sum("df").alias("df"))
 
 
 class Terms:
@@ -94,30 +123,35 @@ def others(text: str, ends: np.ndarray) -> Iterator[str]:
         yield text[a:b]
 
 
+_NAMES = ["lang", "source", "key", "n", "bucket", "words"]
+
+
 class Counts:
-    """Counts of terms by group, handed on when there are many."""
+    """Occurrences of an automaton's terms by group, until they are handed on as counts."""
 
     def __init__(self) -> None:
-        self.held: dict[tuple[str, str], dict[str, int]] = {}
+        self.held: dict[tuple[str, str], list[np.ndarray]] = {}
         self.size = 0
 
-    def add(self, group: tuple[str, str], terms: Terms, found: np.ndarray) -> None:
-        own = self.held.setdefault(group, {})
-        before = len(own)
-        for i, n in zip(*(x.tolist() for x in np.unique(found, return_counts=True)), strict=True):
-            own[terms.keys[i]] = own.get(terms.keys[i], 0) + n
-        self.size += len(own) - before
+    def add(self, group: tuple[str, str], found: np.ndarray) -> None:
+        self.held.setdefault(group, []).append(found.astype(np.int32))
+        self.size += len(found)
 
-    def taken(self) -> list[tuple[str, str, str, int, None, None]]:
-        out = [(*group, key, n, None, None) for group, own in self.held.items() for key, n in own.items()]
+    def taken(self, terms: Terms) -> pa.RecordBatch:
+        counts = [np.unique(np.concatenate(own), return_counts=True) for own in self.held.values()]
+        which = pa.array(np.repeat(np.arange(len(counts)), [len(x) for x, _ in counts]))
+        lang, source = (pa.array([g[k] for g in self.held], pa.string()).take(which) for k in (0, 1))
+        key = pa.array(terms.keys, pa.string()).take(pa.array(np.concatenate([np.zeros(0, np.int32), *(x for x, _ in counts)])))
+        n = pa.array(np.concatenate([np.zeros(0, np.int64), *(n for _, n in counts)]))
         self.held, self.size = {}, 0
-        return out
+        return pa.RecordBatch.from_arrays([lang, source, key, n, pa.nulls(len(n), pa.int64()), pa.nulls(len(n), pa.string())], _NAMES)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
+def _dealt(words: dict[tuple[int, tuple[str, str]], list[str]]) -> pa.RecordBatch:
+    rows = [(*group, None, None, bucket, " ".join(own)) for (bucket, group), own in words.items()]
     kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string())
     columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "source", "key", "n", "bucket", "words"])
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], _NAMES)
 
 
 _LOADED: dict[str, Terms] = {}
@@ -145,17 +179,18 @@ def _scan(name: str, shared, buckets: int) -> Callable[[Iterator[pa.RecordBatch]
                 for group, some in groups.items():
                     text = plain_text(b" ".join(some))
                     ends, found = terms.occurrences(text)
-                    counts.add(group, terms, found)
+                    counts.add(group, found)
                     for word in others(text, ends) if buckets else ():
                         dealt.setdefault((zlib.crc32(word.encode()) % buckets, group), []).append(word)
                         chars += len(word) + 1
                 if counts.size > HELD_COUNTS:
-                    yield _batch(counts.taken())
+                    yield counts.taken(terms)
                 if chars > HELD_CHARS:
-                    yield _batch([(*g, None, None, b, " ".join(w)) for (b, g), w in dealt.items()])
+                    yield _dealt(dealt)
                     dealt, chars = {}, 0
-        yield _batch(counts.taken())
-        yield _batch([(*g, None, None, b, " ".join(w)) for (b, g), w in dealt.items()])
+        if counts.size:
+            yield counts.taken(terms)
+        yield _dealt(dealt)
 
     return scan
 
@@ -166,15 +201,18 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             if row["bucket"] != bucket:
+                if counts.size:
+                    yield counts.taken(terms)
                 bucket, keys, terms = row["bucket"], [], None
             if row["key"] is not None:
                 keys.append(row["key"])
                 continue
             terms = terms or Terms(keys)
-            counts.add((row["lang"], row["source"]), terms, terms.occurrences(f" {row['words']} ")[1])
+            counts.add((row["lang"], row["source"]), terms.occurrences(f" {row['words']} ")[1])
             if counts.size > HELD_COUNTS:
-                yield _batch(counts.taken())
-    yield _batch(counts.taken())
+                yield counts.taken(terms)
+    if counts.size:
+        yield counts.taken(terms)
 
 
 def occurrences(docs: DataFrame, vocabulary: DataFrame, head_terms: int = HEAD_TERMS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
@@ -258,7 +296,7 @@ def audit(docs: DataFrame, least: int = LEAST, ranks: int = RANKS, head_terms: i
     spark = docs.sparkSession
     prepare(spark)
     docs = docs.select(*(F.coalesce(c, F.lit("")).alias(c) for c in ("lang", "source", "text")))
-    vocabulary = written(document_terms(docs).groupBy("lang", "key", "long").agg(F.count("*").alias("df")).where(F.col("df") >= least), "vocabulary")
+    vocabulary = written(document_frequencies(docs).where(F.col("df") >= least), "vocabulary")
     found = occurrences(docs, vocabulary, head_terms, bucket_chars)
     # A key is dealt to one task with what all sources say of it, so both sums and the lists below need no further exchange.
     found = found.repartition("lang", "key").groupBy("lang", "key", "source").agg(F.sum("n").alias("n"))
