@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .shared import written
 
 WEIGHTS, SHARE, MOST = (3, 1, 2), Fraction(3, 2), 2
-BLOCK_WORDS, SHARD_SLOTS, BUCKET_ROWS, ROUNDS, SEED = 64, 1 << 16, 1 << 16, 16, "mix"
+BLOCK_WORDS, SHARD_SLOTS, BUCKET_ROWS, ROUNDS, SEED = 64, 1 << 16, 1 << 12, 16, "mix"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
