@@ -137,11 +137,14 @@ def decontamination_report(docs: DataFrame, benchmark: DataFrame, length: int =
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = LENGTH, action: str = "drop") -> DataFrame:
     """docs without contaminated documents (`drop`), or with the hit spans taken out of their texts (`cut`)."""
-    found = benchmark_hits(docs, benchmark, length)
+    # All other columns have names of our own meanwhile, so that none is taken for one that the scan adds.
+    named = {c: "text" if c == "text" else f"column{i}" for i, c in enumerate(docs.columns)}
+    back = [F.col(new).alias(c) for c, new in named.items()]
+    found = benchmark_hits(docs.toDF(*named.values()), benchmark, length)
     if action == "drop":
-        return found.where(F.size("__hits") == 0).select(*docs.columns)
+        return found.where(F.size("__hits") == 0).select(*back)
     raw = F.col("text").cast("binary")
     ends = F.transform("__spans", lambda s: s["to"])
     begins = F.concat(F.transform("__spans", lambda s: s["from"]), F.array(F.octet_length("text").cast("long")))
     kept = F.zip_with(F.concat(F.array(F.lit(0).cast("long")), ends), begins, lambda a, b: F.substring(raw, a.cast("int") + 1, (b - a).cast("int")).cast("string"))
-    return found.withColumn("text", F.when(F.size("__hits") > 0, F.concat_ws("", kept)).otherwise(F.col("text"))).select(*docs.columns)
+    return found.withColumn("text", F.when(F.size("__hits") > 0, F.concat_ws("", kept)).otherwise(F.col("text"))).select(*back)

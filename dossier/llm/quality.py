@@ -20,6 +20,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
+
 # Common words of each language.
 COMMON = {
     "de": ["der", "die", "und", "in", "den", "von", "zu", "das", "mit", "des", "auf", "ist"],
@@ -116,7 +118,7 @@ def repeated_words(words: Column, k: int = WINDOW) -> Column:
     return let(words, lambda w: F.when(F.size(w) < k, F.lit(0)).otherwise(let(hashes(w), count)))
 
 
-def _judged(docs: DataFrame) -> DataFrame:
+def _judged(docs: DataFrame, name: str = "__q") -> DataFrame:
     chars, words, every = references(docs)
     array = lambda xs: F.array(*(F.lit(float(x)) for x in xs))
     table = lambda d: F.create_map(*(x for k, v in d.items() for x in (F.lit(k), array(v)))) if d else F.create_map().cast("map<string,array<double>>")
@@ -140,7 +142,7 @@ def _judged(docs: DataFrame) -> DataFrame:
 
         return let(F.struct(char.alias("char"), word.alias("word")), verdict)
 
-    return docs.withColumn("__q", let(histograms(F.col("text"), F.col("lang"), counted), judge))
+    return docs.withColumn(name, let(histograms(F.col("text"), F.col("lang"), counted), judge))
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
@@ -154,4 +156,5 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without those that the rules reject; all columns stay as they are."""
-    return _judged(docs).where("__q.kept").select(*docs.columns)
+    name = fresh(docs, "__q")
+    return _judged(docs, name).where(F.col(name)["kept"]).select(*docs.columns)

@@ -22,6 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     return there.rstrip("/")
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A name that no column of df has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 

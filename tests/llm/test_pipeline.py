@@ -66,3 +66,15 @@ def test_empty_tables_and_empty_benchmark(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_keep_their_values(spark):
+    names = ["__q", "__Q_", "__words", "__hits", "__items", "__spans", "__text", "column0"]
+    docs = spark.createDataFrame([(*r[:5], *(f"{r[0]} {n}" for n in names)) for r in documents()], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names))
+    bench = spark.createDataFrame([(1, BENCH)], "item_id long, text string")
+    for out in (quality.keep_good(docs), leaks.decontaminate(docs, bench), leaks.decontaminate(docs, bench, action="cut"), minhash.drop_near_duplicates(docs), secrets.mask_secrets(docs)):
+        assert out.columns == docs.columns and out.schema == docs.schema
+        rows = out.collect()
+        assert rows and all(r[n] == f"{r['doc_id']} {n}" for r in rows for n in names)
+    cut = {r["doc_id"]: r["text"] for r in leaks.decontaminate(docs, bench, action="cut").collect()}
+    assert BENCH not in cut[12] and len(cut[12]) > 100
