@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.operators import evidence, facts
+from dossier.operators import assembly, evidence, facts
 
 from .registry import Registry, Tables
 
@@ -13,21 +13,52 @@ _r = Registry()
 QUERIES, ORACLE_SQL = _r.queries, _r.sql
 
 
-@_r.add("""WITH e AS (SELECT user_id, event_id // 500 AS part, event_id, event_type = 'purchase' AS hit, event_type <> 'error' AS sub, 1 + event_id % 7 AS size, CASE WHEN event_id % 3 <> 0 THEN event_id % 4 END AS depth FROM events),
+_WALK = """WITH e AS (SELECT user_id, event_id // 500 AS part, event_id, event_type = 'purchase' AS hit, event_type <> 'error' AS sub, 1 + event_id % 7 AS size, CASE WHEN event_id % 3 <> 0 THEN event_id % 4 END AS depth FROM events),
 h AS (SELECT *, lead(event_id) OVER (PARTITION BY user_id, part ORDER BY event_id) AS nxt FROM e WHERE hit),
 s AS (SELECT h.user_id, h.part, h.event_id AS hit_at, h.nxt, h.depth AS d, e.event_id, e.depth,
 h.size + coalesce(sum(e.size) OVER (PARTITION BY h.user_id, h.part, h.event_id ORDER BY e.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used,
 h.size + sum(e.size) OVER (PARTITION BY h.user_id, h.part, h.event_id) AS total
 FROM h JOIN e ON e.user_id = h.user_id AND e.part = h.part AND e.event_id > h.event_id AND (h.nxt IS NULL OR e.event_id < h.nxt) WHERE e.sub),
-b AS (SELECT *, coalesce(bool_or(depth <= d) OVER (PARTITION BY user_id, part, hit_at ORDER BY event_id ROWS UNBOUNDED PRECEDING), false) AS past FROM s)
-SELECT user_id, part, hit_at, event_id FROM b WHERE used < 12 AND (nxt IS NOT NULL OR total >= 12 OR (d IS NOT NULL AND NOT past))""")
+b AS (SELECT *, coalesce(bool_or(depth <= d) OVER (PARTITION BY user_id, part, hit_at ORDER BY event_id ROWS UNBOUNDED PRECEDING), false) AS past FROM s)"""
+_FOLLOWING = "SELECT user_id, part, hit_at, event_id FROM b WHERE used < 12 AND (nxt IS NOT NULL OR total >= 12 OR (d IS NOT NULL AND NOT past))"
+
+
+@_r.add(f"{_WALK} {_FOLLOWING}")
 def continuation_walk(t: Tables) -> DataFrame:
     """Events as chunks of their user and stretch: purchases are hits, errors have no substance, two of three have a heading."""
-    d = t("events").withColumn("part", F.expr("event_id div 500")).withColumn("size", 1 + F.col("event_id") % 7)
+    return _continued(_chunks(t))
+
+
+def _chunks(t: Tables) -> DataFrame:
+    return t("events").withColumn("part", F.expr("event_id div 500")).withColumn("size", 1 + F.col("event_id") % 7)
+
+
+def _continued(d: DataFrame) -> DataFrame:
     headed = F.col("event_id") % 3 != 0
     return evidence.continued(d, ["user_id", "part"], "event_id", "size", F.col("event_type") == "purchase", F.col("event_type") != "error", F.when(headed, "number"), F.when(headed, F.col("event_id") % 4), 12)
 
 
+@_r.add(_WALK.replace("WITH e AS", "WITH RECURSIVE e AS") + f""", f AS ({_FOLLOWING}),
+c AS (SELECT user_id, part, hit_at, event_id FROM f UNION ALL SELECT user_id, part, event_id, event_id FROM h),
+k AS (SELECT user_id, part, event_id // 3 AS chunk, hit_at % 4 AS item, 1 + event_id % 7 AS size, row_number() OVER (PARTITION BY user_id, part ORDER BY hit_at % 4, hit_at, event_id) AS i FROM c),
+walk AS (SELECT user_id, part, i, item, [chunk] AS seen, 0 AS used, CASE WHEN size <= 25 THEN size ELSE 0 END AS own, size > 25 AS done, size <= 25 AS held, CASE WHEN size <= 25 THEN chunk END AS took, size FROM k WHERE i = 1
+UNION ALL SELECT user_id, part, i, item, CASE WHEN act = 'take' THEN list_append(seen, chunk) ELSE seen END, used, CASE WHEN act = 'take' THEN own + size ELSE own END, done OR act = 'stop', act IN ('take', 'again'), CASE WHEN act = 'take' THEN chunk END, size FROM
+ (SELECT *, CASE WHEN done THEN 'none' WHEN list_contains(seen, chunk) THEN 'again' WHEN (own > 0 AND own + size > 9) OR used + own + size > 25 THEN 'stop' ELSE 'take' END AS act FROM
+  (SELECT k.*, seen, CASE WHEN k.item = w.item THEN used ELSE used + own END AS used, CASE WHEN k.item = w.item THEN own ELSE 0 END AS own, k.item = w.item AND done AS done FROM walk w JOIN k ON k.user_id = w.user_id AND k.part = w.part AND k.i = w.i + 1))),
+g AS (SELECT DISTINCT user_id, part, unnest(range(5)) AS item FROM e),
+z AS (SELECT user_id, part, item, bool_or(held) AS held, coalesce(sum(size) FILTER (WHERE took IS NOT NULL), 0) AS tokens, string_agg(CAST(took AS VARCHAR), ',' ORDER BY i) AS blocks FROM walk GROUP BY ALL)
+SELECT user_id, part, item, CASE WHEN held THEN 'ok' WHEN held IS NULL THEN 'unresolved' ELSE 'truncated' END AS state, CAST(coalesce(tokens, 0) AS BIGINT) AS tokens, coalesce(blocks, '') AS blocks FROM g LEFT JOIN z USING (user_id, part, item)""")
+def evidence_assembly(t: Tables) -> DataFrame:
+    """Purchases as hits of four of five items, with what follows them; three events in a row are one chunk, which only one item pays for."""
+    d, keys = _chunks(t), ["user_id", "part"]
+    hits = d.where("event_type = 'purchase'").select(*keys, F.col("event_id").alias("hit_at"), "event_id")
+    found = _continued(d).select(*keys, "hit_at", "event_id").unionByName(hits)
+    found = found.withColumns({"item": F.col("hit_at") % 4, "chunk": F.expr("event_id div 3"), "size": 1 + F.col("event_id") % 7})
+    items = d.select(*keys).distinct().withColumn("item", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    out = assembly.assembled(items, found, keys, "item", ["hit_at", "event_id"], "chunk", "size", 9, 25)
+    return out.select(*keys, "item", "state", "tokens", F.array_join(F.transform("blocks", lambda b: b["chunk"]), ",").alias("blocks"))
+
+
 @_r.add("""WITH RECURSIVE t AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS n, CAST(l_quantity AS BIGINT) AS size FROM lineitem),
 q AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n % 3, n) AS i, n % 3 = max(n % 3) OVER (PARTITION BY l_orderkey) AS last_tier, count(*) OVER (PARTITION BY l_orderkey) AS total FROM t),
 walk AS (SELECT l_orderkey, n, i, least(size, CASE WHEN last_tier THEN 70 // total ELSE 70 END) AS kept, 70 - least(size, CASE WHEN last_tier THEN 70 // total ELSE 70 END) AS rest FROM q WHERE i = 1
