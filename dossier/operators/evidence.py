@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import anchor_text
 from .search import grams
+from .spans import even
 
 # Fixed value: a quote of fewer characters isn't looked up.
 LEAST_QUOTE = 8
@@ -36,26 +36,12 @@ def continued(chunks: DataFrame, keys: list[str], order: str, size: str, hit: Co
     return d.where(~F.col("__hit") & F.col("__sub") & (F.col("__used") < budget) & (bounded | by_layout)).select(*keys, "hit_at", order)
 
 
-def _even(sizes, left: int) -> list[int]:
-    out = []
-    for n, size in enumerate(sizes):
-        out.append(min(int(size), left // (len(sizes) - n)))
-        left -= out[-1]
-    return out
-
-
 def allocated(df: DataFrame, keys: list[str], order: str, tier: str, size: str, budget: int) -> DataFrame:
     """(keys, order, kept): how much of each chunk a budget holds.
 
     Lower tiers take what they need, in order; the last one shares what they leave, each chunk an even part of what is left by
-    then.  These parts depend on one another, so one Arrow-batched function goes through the sizes of a draft's last tier.
-    order has to be unique within a draft.
+    then, as a fold over the sizes of a draft's last tier.  order has to be unique within a draft.
     """
-
-    @F.pandas_udf("array<long>")
-    def even(sizes: pd.Series, left: pd.Series) -> pd.Series:
-        return pd.Series([_even(s, int(x)) for s, x in zip(sizes, left, strict=True)])
-
     before = F.coalesce(F.sum(size).over(Window.partitionBy(*keys).orderBy(tier, order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     d = df.select(*keys, order, F.col(size).cast("long").alias("__size"), F.greatest(budget - before, F.lit(0)).cast("long").alias("__left"), (F.col(tier) == F.max(tier).over(Window.partitionBy(*keys))).alias("__last"))
     first = d.where("NOT __last").select(*keys, order, F.least("__size", "__left").alias("kept"))

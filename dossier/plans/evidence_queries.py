@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.operators import assembly, evidence, facts
+from dossier.operators import assembly, evidence, facts, spans
 
 from .registry import Registry, Tables
 
@@ -106,3 +106,21 @@ def rendered_drafts(t: Tables) -> DataFrame:
     last = c.select("conv_id").distinct().select("conv_id", F.lit(None).cast("long").alias("page"), F.lit(0).cast("long").alias("turn"), F.lit("").alias("name"), F.array(F.array(F.lit("end"))).alias("cells"))
     pages = c.select("conv_id", "page", F.when(F.col("turn") % 3 != 1, F.col("role")).otherwise("  ").alias("text"))
     return evidence.rendered(pages, own.unionByName(last), ["conv_id"], "page", "text", "turn", "name", "cells")
+
+
+_LINE = """CASE WHEN conv_id % 4 = 0 THEN CASE WHEN turn = 1 THEN '如有废标情形' ELSE role END WHEN turn % 3 = 0 THEN '第' || (turn + 1) || '章 ' || CASE WHEN conv_id % 3 = 0 THEN '评标办法' ELSE role END
+WHEN turn % 3 = 1 THEN '一、 ' || CASE WHEN conv_id % 2 = 0 THEN '资格审查' ELSE role END ELSE role END"""
+
+
+@_r.add(f"""WITH l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, {_LINE} AS line FROM conversations),
+k AS (SELECT *, CASE WHEN line LIKE '第%' THEN 1 WHEN line LIKE '一、%' THEN 2 END AS level, regexp_matches(line, '评标办法|资格审查|废标') AS hit FROM l),
+c AS (SELECT a.conv_id, a.i AS a, coalesce((SELECT min(b.i) FROM k b WHERE b.conv_id = a.conv_id AND b.i > a.i AND b.level <= a.level), a.n) AS b FROM k a WHERE level IS NOT NULL AND hit),
+s AS (SELECT * FROM c UNION ALL SELECT conv_id, greatest(0, i - 40), least(n, i + 81) FROM k WHERE hit AND conv_id NOT IN (SELECT conv_id FROM c)),
+m AS (SELECT *, coalesce(a > max(b) OVER (PARTITION BY conv_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), true) AS fresh FROM s),
+g AS (SELECT *, sum(CAST(fresh AS INTEGER)) OVER (PARTITION BY conv_id ORDER BY a, b ROWS UNBOUNDED PRECEDING) AS part FROM m)
+SELECT conv_id, CAST(min(a) AS INTEGER) AS start, CAST(max(b) AS INTEGER) AS stop FROM g GROUP BY conv_id, part""")
+def review_spans(t: Tables) -> DataFrame:
+    """Turns as lines: chapters and sections, some of which reviews rest on; every fourth conversation has no heading."""
+    line = F.expr(_LINE)
+    d = t("conversations").select("conv_id", F.struct("turn", line.alias("line")).alias("x")).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]).alias("lines"))
+    return d.select("conv_id", F.explode(spans.review_spans(F.col("lines"))).alias("s")).select("conv_id", "s.start", "s.stop")
