@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dossier.operators import assembly, evidence, facts, spans
+from dossier.sources import corpus
+from dossier.sources.scratch import new_folder
 
 from .registry import Registry, Tables
 
@@ -108,6 +110,21 @@ def rendered_drafts(t: Tables) -> DataFrame:
     return evidence.rendered(pages, own.unionByName(last), ["conv_id"], "page", "text", "turn", "name", "cells")
 
 
+@_r.add("""WITH t AS (SELECT conv_id, turn, role, sum(CASE WHEN turn % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS f, length(role || ' ' || conv_id || repeat('x', 5 * turn)) AS n FROM conversations),
+p AS (SELECT conv_id, f, arg_min(role, turn) AS role, string_agg((turn + 1) || ':' || n || ':' || CASE WHEN n < 20 THEN 'blank' WHEN f % 2 = 0 THEN 'image' ELSE 'text' END, '|' ORDER BY turn) AS pages FROM t WHERE f > 0 GROUP BY conv_id, f)
+SELECT CAST(conv_id AS VARCHAR) AS case, CAST(f - 1 AS INTEGER) AS place, role || '/t?' AS source, 't_' || CASE WHEN f > 1 THEN '-' || CAST(f AS INTEGER) ELSE '' END || '.txt' AS corpus_file, pages FROM p""")
+def corpus_manifest(t: Tables) -> DataFrame:
+    """Conversations as drafts of several files of one name, written as a corpus and read by its manifest."""
+    page = F.concat(F.lit("【第 "), F.col("turn") + 1, F.lit(" 页】\n"), F.col("role"), F.lit(" "), F.col("conv_id"), F.repeat(F.lit("x"), (5 * F.col("turn")).cast("int")))
+    head = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("### 文件: "), F.col("role"), F.lit("/t? (kind=pdf"), F.when(F.expr("(turn div 3) % 2 = 1"), " route=ocr").otherwise(""), F.lit(")\n"))).otherwise("")
+    drafts = t("conversations").groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", F.concat(head, page).alias("x")))), lambda x: x["x"]), "\n").alias("draft"))
+    spark = drafts.sparkSession
+    path = new_folder(spark, "corpus")
+    corpus.write_corpus(corpus.case_files(drafts, ["conv_id"], "draft"), F.col("conv_id"), path)
+    told = F.transform("pages", lambda p: F.concat_ws(":", p["page"], p["chars"], p["kind"]))
+    return corpus.manifest(spark, path).select("case", "place", "source", "corpus_file", F.array_join(told, "|").alias("pages"))
+
+
 _LINE = """CASE WHEN conv_id % 4 = 0 THEN CASE WHEN turn = 1 THEN '如有废标情形' ELSE role END WHEN turn % 3 = 0 THEN '第' || (turn + 1) || '章 ' || CASE WHEN conv_id % 3 = 0 THEN '评标办法' ELSE role END
 WHEN turn % 3 = 1 THEN '一、 ' || CASE WHEN conv_id % 2 = 0 THEN '资格审查' ELSE role END ELSE role END"""
 

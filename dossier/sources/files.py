@@ -1,4 +1,4 @@
-"""Files as tables: texts, JSON-lines logs, Word and Excel files, routes by suffix, and an append sink."""
+"""Files as tables: texts, JSON-lines logs, Word, Excel and PowerPoint files, routes by suffix, and an append sink."""
 
 from __future__ import annotations
 
@@ -17,6 +17,8 @@ from pyspark.sql.types import StructType
 ROUTES = {"text": "txt csv md json tsv", "images": "png jpg jpeg bmp tif tiff webp", "word_native": "docx", "word_legacy": "doc", "excel_ooxml": "xlsx xlsm", "excel_xls": "xls", "excel_xlsb": "xlsb", "presentation_native": "pptx", "office_convert": "ppt odt ods odp", "pdf": "pdf"}
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_A = "{http://schemas.openxmlformats.org/drawingml/2006/main}"
+_P = "{http://schemas.openxmlformats.org/presentationml/2006/main}"
 _R = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}"
 SHEET_ROWS = 5000
 
@@ -64,7 +66,7 @@ def fingerprint_matches(files: DataFrame, pointers: DataFrame) -> DataFrame:
 
     Only files of a length that is asked for are hashed.
     """
-    sized = files.join(F.broadcast(pointers.select(F.col("bytes").alias("length")).distinct()), "length", "left_semi")
+    sized = files.join(pointers.select(F.col("bytes").alias("length")).distinct(), "length", "left_semi")
     hashed = sized.select(F.col("length").alias("bytes"), F.sha2("content", 256).alias("own")).distinct()
     joined = pointers.join(hashed, "bytes", "left").groupBy("role", "sha256", "bytes")
     status = F.when(F.bool_or(F.col("own") == F.col("sha256")), "found").when(F.count("own") > 0, "mismatched").otherwise("absent")
@@ -99,6 +101,7 @@ def _excel(content: bytes) -> Iterator[tuple[str, int, int, list[str]]]:
         target = targets[sheet.get(f"{_R}id")].removeprefix("/xl/")
         for k, row in enumerate(X.fromstring(z.read(f"xl/{target}")).iter(f"{_S}row")):
             if k >= SHEET_ROWS:
+                yield "cut", n, k, [sheet.get("name")]
                 break
             cells: list[str] = []
             for c in row.findall(f"{_S}c"):
@@ -108,7 +111,37 @@ def _excel(content: bytes) -> Iterator[tuple[str, int, int, list[str]]]:
             yield sheet.get("name"), n, k, cells
 
 
-_READERS = {"word_native": _word, "excel_ooxml": _excel}
+def _shapes(node: X.Element) -> Iterator[X.Element]:
+    """Shapes of a slide in order, those of groups in place of the group."""
+    for shape in node:
+        if shape.tag == f"{_P}grpSp":
+            yield from _shapes(shape)
+        else:
+            yield shape
+
+
+def _said(body: X.Element) -> str:
+    """Paragraphs as lines, line breaks within one as vertical tabs."""
+    text = {f"{_A}t": lambda t: t.text or "", f"{_A}br": lambda t: "\v"}
+    return "\n".join("".join(text[t.tag](t) for t in p.iter() if t.tag in text) for p in body.findall(f"{_A}p"))
+
+
+def _presentation(content: bytes) -> Iterator[tuple[str, int, int, list[str]]]:
+    """Shapes with text, rows of tables and pictures, by slide: part_no is the slide's place, row_no that of the shape or row."""
+    z = zipfile.ZipFile(io.BytesIO(content))
+    targets = {r.get("Id"): r.get("Target") for r in X.fromstring(z.read("ppt/_rels/presentation.xml.rels"))}
+    for n, slide in enumerate(X.fromstring(z.read("ppt/presentation.xml")).iter(f"{_P}sldId")):
+        target = targets[slide.get(f"{_R}id")].removeprefix("/ppt/")
+        for k, shape in enumerate(_shapes(X.fromstring(z.read(f"ppt/{target}")).find(f"{_P}cSld/{_P}spTree"))):
+            if (body := shape.find(f"{_P}txBody")) is not None and (text := _said(body)).strip():
+                yield "shape", n, k, [text]
+            for table in shape.iter(f"{_A}tbl"):
+                yield from (("table", n, i, [_said(c.find(f"{_A}txBody")) for c in row.findall(f"{_A}tc")]) for i, row in enumerate(table.findall(f"{_A}tr")))
+            if shape.tag == f"{_P}pic":
+                yield "picture", n, k, []
+
+
+_READERS = {"word_native": _word, "excel_ooxml": _excel, "presentation_native": _presentation}
 
 
 def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -123,9 +156,9 @@ def _parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def office_rows(files: DataFrame) -> DataFrame:
-    """(path, part, part_no, row_no, cells, error): paragraphs and table rows of .docx, sheet rows of .xlsx files.
+    """(path, part, part_no, row_no, cells, error): paragraphs and table rows of .docx, sheet rows of .xlsx, shapes of .pptx files.
 
-    A file that can't be read is one row with the error's name.  Sheets end after 5,000 rows.
+    A file that can't be read is one row with the error's name.  Sheets end after 5,000 rows; a row `cut` says where one did.
     """
     kinds = files.select("path", route(F.col("path")).alias("kind"), "content").where(F.col("kind").isin(*_READERS))
     return kinds.mapInPandas(_parts, "path string, part string, part_no int, row_no int, cells array<string>, error string")
