@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.operators import assembly, evidence, facts, spans
+from dossier.operators import assembly, bills, cache, evidence, facts, spans
 from dossier.sources import corpus
 from dossier.sources.scratch import new_folder
 
@@ -141,3 +141,34 @@ def review_spans(t: Tables) -> DataFrame:
     line = F.expr(_LINE)
     d = t("conversations").select("conv_id", F.struct("turn", line.alias("line")).alias("x")).groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]).alias("lines"))
     return d.select("conv_id", F.explode(spans.review_spans(F.col("lines"))).alias("s")).select("conv_id", "s.start", "s.stop")
+
+
+_BILL = """CASE CAST(o_orderkey % 7 AS INT) WHEN 0 THEN '【第 ' || (o_orderkey % 9 + 1) || ' 页】' WHEN 1 THEN '投标总价（小写）' WHEN 2 THEN (o_orderkey * 131) || '.25' WHEN 3 THEN '规费 ' || (o_orderkey % 50) || '.50'
+WHEN 4 THEN '' WHEN 5 THEN '' || (o_orderkey * 977) ELSE '单位工程 壹佰万元整' END"""
+
+
+@_r.add(f"""WITH l AS (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS no, {_BILL} AS line FROM orders),
+p AS (SELECT *, line LIKE '【%' AS anchor, string_agg(line, ' ') OVER (PARTITION BY o_custkey ORDER BY no ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS ctx FROM l),
+c AS (SELECT *, last_value(CASE WHEN anchor THEN CAST(regexp_extract(line, '第 ([0-9]+)', 1) AS INTEGER) END IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY no) AS page FROM p),
+n AS (SELECT *, list_filter([line, lead(line) OVER w, lead(line, 2) OVER w, lead(line, 3) OVER w, lag(line) OVER w, lag(line, 2) OVER w], lambda x: x IS NOT NULL) AS near, list_filter([line, lead(line) OVER w, lead(line, 2) OVER w, lead(line, 3) OVER w], lambda x: contains(x, '壹佰万元整')) AS caps FROM c WHERE line <> '' WINDOW w AS (PARTITION BY o_custkey ORDER BY no)),
+t AS (SELECT o_custkey, no, page, 'total' AS kind, list_max([CAST(a AS DOUBLE) for a in flatten([regexp_extract_all(x, '[0-9]+\\.[0-9]{{1,2}}|[0-9]{{5,}}') for x in near])]) AS value, CASE WHEN page <= 5 THEN 3 ELSE 0 END + 3 + CASE WHEN len(caps) > 0 THEN 2 ELSE 0 END - CASE WHEN regexp_matches(ctx, '单位工程|规费') THEN 3 ELSE 0 END AS score FROM n WHERE NOT anchor AND contains(line, '投标总价')),
+s AS (SELECT o_custkey, no, page, 'subtotal' AS kind, CAST(flatten([regexp_extract_all(x, '[0-9]+\\.[0-9]{{1,2}}') for x in near])[1] AS DOUBLE) AS value, 0 AS score FROM n WHERE NOT anchor AND contains(line, '规费')),
+a AS (SELECT o_custkey, no, page, 'amount' AS kind, CAST(regexp_extract(line, '[0-9]+\\.[0-9]{{1,2}}', 0) AS DOUBLE) AS value, 0 AS score FROM n WHERE NOT anchor AND regexp_matches(line, '[0-9]+\\.[0-9]{{1,2}}') QUALIFY row_number() OVER (PARTITION BY o_custkey, value ORDER BY no) = 1),
+b AS (SELECT o_custkey, value FROM t WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY score DESC, no) = 1),
+u AS (SELECT * FROM t WHERE value IS NOT NULL UNION ALL SELECT * FROM s UNION ALL SELECT a.* FROM a LEFT JOIN b USING (o_custkey) WHERE a.value IS DISTINCT FROM b.value),
+r AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, kind ORDER BY CASE WHEN kind = 'total' THEN score ELSE value END DESC, no) AS place FROM u)
+SELECT o_custkey, kind, CAST(place AS INTEGER) AS place, page, value, CAST(score AS INTEGER) AS score FROM r WHERE place <= CASE kind WHEN 'total' THEN 6 WHEN 'subtotal' THEN 12 ELSE 8 END""")
+def bill_entries(t: Tables) -> DataFrame:
+    """Orders of a customer as lines of a priced bill."""
+    d = t("orders").select("o_custkey", "o_orderkey", F.expr(_BILL).alias("line"))
+    return bills.entries(d, ["o_custkey"], "o_orderkey", "line").select("o_custkey", "kind", F.col("place").cast("int").alias("place"), "page", "value", "score")
+
+
+@_r.add("SELECT doc_id, CAST(octet_length(encode(text)) AS INTEGER) AS size, true AS made_first, length(text) % 10 = 0 AS made_again FROM documents")
+def cached_results(t: Tables) -> DataFrame:
+    """Sizes of texts, asked for twice: those of whole results are read the second time."""
+    path = new_folder(t("documents").sparkSession, "cache")
+    docs = t("documents").select("doc_id", "text", cache.cache_key(F.col("text"), F.lit("engine 1"), F.lit("size"), F.lit("")).alias("key"))
+    compute = lambda d: d.select("key", F.octet_length("text").alias("size"), (F.length("text") % 10 != 0).alias("whole"))
+    first, again = (cache.cached(docs, "key", path, compute, lambda: F.col("whole")).select("doc_id", "size", F.col("made").alias(f"made_{k}")) for k in ("first", "again"))
+    return first.join(again.drop("size"), "doc_id")
