@@ -5,7 +5,8 @@ within links and the number of tags are added up; the text-to-tag ratio of the p
 their neighbours in page order, fused with the punctuation ratio and the share of text outside links, and paths
 over a threshold that the page itself sets are content.  Names and tags are a feature of the score: where a page has
 an article (or main) element, paths outside it weigh less, as do those in a frame (nav, footer, form, comments, and
-so on, by tag, role, class or id); headings, paragraphs, list items and cells weigh more.  An element that holds an article, or on a page without one
+so on, by tag, role, class or id); headings, paragraphs, list items and cells weigh more, and so does a path within the
+article that has a block beside one of a content path.  An element that holds an article, or on a page without one
 most of the text in several blocks, is no frame whatever its name.  Hidden elements are never content.
 
 Defined results: a null or empty page, or one without content, gives an empty text; unclosed, misnested and cut
@@ -20,6 +21,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,9 +38,11 @@ RAW = frozenset("script style noscript template textarea title svg iframe object
 BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul caption".split())
 FRAME = frozenset("nav header footer aside form button menu dialog head".split())
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
-FRAME_NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|newsletter|subscribe|popup|modal|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|header|comments?|replies|reply|disqus|related|share|sharing|social|pagination|widget)(?:$|[\s_-])", re.IGNORECASE)
+FRAME_NAMES = re.compile(r"(?:^|(?<=[\s_-]))(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|newsletter|subscribe|popup|modal|nav\w*|menu\w*|breadcrumbs?|sidebar|footer|header|comments?|replies|reply|disqus|related|share|sharing|social|pagination|widget)(?=$|[\s_-])", re.IGNORECASE)
 #: Weights of paths in frames, of those outside the article where there is one, and elsewhere of tags that hold text.
 IN_FRAME, OUTSIDE = 0.01, 0.05
+#: Score, of the best, of a path within the article that has a block next to one of a content path.
+BESIDE = 0.2
 TAGS = dict.fromkeys("h1 h2 h3 h4 h5 h6".split(), 8.0) | dict.fromkeys("p li td th dd dt blockquote pre figcaption caption summary".split(), 4.0)
 #: Characters a tag, and share of punctuation, beyond which more is no more evidence (a page of long paragraphs keeps its headline).
 LONG, DENSE = 200, 0.1
@@ -109,7 +113,8 @@ class Blocks:
         # A header within the article holds its headline.
         frame = tag in FRAME and not (tag == "header" and self.within["article"])
         hidden = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
-        named = found.get("role", "").lower() in FRAME_ROLES or (tag not in ("html", "body", "article", "main") and bool(FRAME_NAMES.search(found.get("class", "")) or FRAME_NAMES.search(found.get("id", ""))))
+        names = {n.strip(" _-").lower() for k in ("class", "id") for n in FRAME_NAMES.findall(found.get(k, ""))} if tag not in ("html", "body", "article", "main") else set()
+        named = found.get("role", "").lower() in FRAME_ROLES or bool(names - ({"header"} if self.within["article"] else set()))
         if frame or named:
             self.frames += 1
             self.named[self.frames] = named or tag == "form"
@@ -174,6 +179,11 @@ def main_text(page: str, share: float = 0.1) -> str:
             own = weight * math.sqrt(ratio[i] * smooth) * (1 + min(DENSE, p / n) * 20) * (1 - a / n)
             best = best if frame else max(best, own)
             score[k] = own * (TAGS.get(k[0].rsplit("/", 1)[-1], 1) if weight == 1 else 1)
+    # What lies within the article beside its content is content: a short line, a list of links.
+    own = [b for b in seen.out if b["article"] and not b["frame"]]
+    beside = {(x["path"], False) for a, b in pairwise(own) for x, y in ((a, b), (b, a)) if score[y["path"], False] > share * best}
+    for k in beside:
+        score[k] = max(score[k], BESIDE * best)
     return "\n\n".join(b["text"] for b in seen.out if best and score[b["path"], b["frame"]] > share * best)
 
 
