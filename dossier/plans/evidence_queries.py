@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dossier.operators import assembly, bills, cache, evidence, facts, spans
+from dossier.operators import assembly, bills, cache, evidence, facts, layers, spans
 from dossier.sources import corpus
 from dossier.sources.scratch import new_folder
 
@@ -172,3 +172,18 @@ def cached_results(t: Tables) -> DataFrame:
     compute = lambda d: d.select("key", F.octet_length("text").alias("size"), (F.length("text") % 10 != 0).alias("whole"))
     first, again = (cache.cached(docs, "key", path, compute, lambda: F.col("whole")).select("doc_id", "size", F.col("made").alias(f"made_{k}")) for k in ("first", "again"))
     return first.join(again.drop("size"), "doc_id")
+
+
+@_r.add(f"""WITH l AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS i, count(*) OVER (PARTITION BY conv_id) AS n, {_LINE} AS line FROM conversations),
+k AS (SELECT *, CASE WHEN line LIKE '第%' THEN 1 WHEN line LIKE '一、%' THEN 2 END AS level FROM l),
+h AS (SELECT *, coalesce((SELECT min(b.i) FROM k b WHERE b.conv_id = a.conv_id AND b.i > a.i AND b.level <= a.level), n) AS stop, CASE WHEN level = 2 THEN (SELECT arg_max(b.line, b.i) FROM k b WHERE b.conv_id = a.conv_id AND b.i < a.i AND b.level = 1) END AS above FROM k a WHERE level IS NOT NULL),
+s AS (SELECT conv_id, i, stop, concat_ws(' > ', above, line) AS path, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS pos FROM h UNION ALL SELECT conv_id, 0, n, 'bid', 0 FROM k GROUP BY conv_id, n HAVING count(level) = 0),
+c AS (SELECT s.conv_id, pos, path, string_agg(line, chr(10) ORDER BY k.i) AS text FROM s JOIN k ON k.conv_id = s.conv_id AND k.i >= s.i AND k.i < stop GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, text ORDER BY length(path) DESC, pos) AS best, min(pos) OVER (PARTITION BY conv_id, text) AS first FROM c)
+SELECT conv_id, 'bid#' || pos AS chunk_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY first) - 1 AS INTEGER) AS seq, path, text FROM o WHERE best = 1""")
+def chunks_of_layers(t: Tables) -> DataFrame:
+    """Conversations as drafts of the bid's layer, with chapters, sections and, every fourth, without headings."""
+    line = F.expr(_LINE)
+    d = t("conversations").select("conv_id", F.struct("turn", line.alias("line")).alias("x")).groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["line"]), "\n").alias("draft"))
+    found = layers.layer_chunks(d.withColumn("layer", F.lit("bid")), ["conv_id"], "draft", "layer")
+    return found.select("conv_id", "chunk_id", "seq", "path", "text")
