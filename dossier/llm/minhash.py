@@ -205,6 +205,7 @@ def _components(docs: DataFrame, percent: int, block: int) -> DataFrame:
     entries = written(firsts.select(F.explode("bands").alias("key"), "id", "n"), "bands")
     buckets = entries.groupBy("key").agg(F.count("*").alias("members"), F.min(F.struct("id", "n")).alias("first")).where("members > 1")
     member = written(entries.join(buckets, "key").select("key", "id", "n", "members", F.col("first.id").alias("centre"), F.col("first.n").alias("centre_n")), "buckets")
+    removed(entries)
     near_size = lambda a, b: F.least(a, b) * 100 >= F.greatest(a, b) * percent
     star = member.where("id <> centre").where(near_size(F.col("n"), F.col("centre_n"))).groupBy("centre", "id").agg(F.count("*").alias("shared"))
     star = star_table = written(star.select("centre", "id"), "star")
@@ -213,6 +214,7 @@ def _components(docs: DataFrame, percent: int, block: int) -> DataFrame:
     wanted = written(wanted.join(firsts.select("id", "row.key_a", "row.key_b"), "id"), "wanted")
     chosen = texts.select("key_a", "key_b", "text").join(wanted, ["key_a", "key_b"]).select("id", "text")
     set_table = written(chosen.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
+    removed(wanted)
     sets = set_table.dropDuplicates(["id"])
     pairs = star.join(sets.select(F.col("id").alias("centre"), F.col("shingles").alias("s")), "centre").join(sets, "id")
     pairs = pairs.select(F.col("centre").alias("a"), F.col("id").alias("b"), F.size(F.array_intersect("s", "shingles")).alias("both"), (F.size("s") + F.size("shingles")).alias("total"))
@@ -238,7 +240,7 @@ def _components(docs: DataFrame, percent: int, block: int) -> DataFrame:
     component = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     out = out.select("doc_id", "key_a", "key_b", "n_shingles", "comp", component.alias("component_id"))
     out = written(out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))), "components")
-    for table in (seen, firsts, entries, member, star_table, wanted, set_table, links, rest_table, more_table):
+    for table in (seen, firsts, member, star_table, set_table, links, rest_table, more_table):
         removed(table)
     return out
 
