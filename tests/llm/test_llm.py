@@ -179,8 +179,9 @@ def test_personal_data(docs, rows):
                 digits = re.sub("[^0-9]", "", m[0])
                 if (kind == "email") or (kind == "ip" and all(int(x) <= 255 for x in m[0].split("."))) or (kind == "card" and 12 <= len(digits) <= 19 and luhn(digits)) or (kind == "phone" and 9 <= len(digits) <= 15):
                     found.append((m.start(), k, m.end()))
-        expected.append((d, sha(",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in sorted(found)))))
-    assert table(pii.personal_report(docs), "doc_id", "base_sha256") == sorted(expected, key=repr)
+        counts = [sum(k == own for _, k, _ in found) for own in range(4)]
+        expected.append((d, *counts, sha(",".join(f"{kinds[k][0]}:{a}:{b}" for a, k, b in sorted(found)))))
+    assert table(pii.personal_report(docs), "doc_id", *(f"n_{k}" for k, _ in kinds), "base_sha256") == sorted(expected, key=repr)
 
 
 def test_em_finds_reliable_labelers():
@@ -238,8 +239,9 @@ def test_secrets(docs, rows):
         found = [(m.start(), 0, m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
         found += [(m.start(), 1, m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
         found += [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
-        expected.append((d, sha(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found)))))
-    assert table(secrets.secret_report(docs), "doc_id", "base_sha256") == sorted(expected, key=repr)
+        counts = [sum(k == own for _, k, _ in found) for own in range(3)]
+        expected.append((d, *counts, sha(",".join(f"{secrets.KINDS[k]}:{a}:{b}" for a, k, b in sorted(found)))))
+    assert table(secrets.secret_report(docs), "doc_id", "n_assign", "n_access", "n_hex", "base_sha256") == sorted(expected, key=repr)
     masked = secrets.mask_secrets(docs)
     assert masked.columns == docs.columns and masked.where(F.col("text").contains("AKIA")).isEmpty()
 
