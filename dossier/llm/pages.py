@@ -179,11 +179,12 @@ def main_text(page: str, share: float = 0.1) -> str:
             own = weight * math.sqrt(ratio[i] * smooth) * (1 + min(DENSE, p / n) * 20) * (1 - a / n)
             best = best if frame else max(best, own)
             score[k] = own * (TAGS.get(k[0].rsplit("/", 1)[-1], 1) if weight == 1 else 1)
-    # What lies within the article beside its content is content: a short line, a list of links.
+    # What lies within the article beside its content is content: a short line, a list of sources; but no box that is mostly link.
     own = [b for b in seen.out if b["article"] and not b["frame"]]
     beside = {(x["path"], False) for a, b in pairwise(own) for x, y in ((a, b), (b, a)) if score[y["path"], False] > share * best}
     for k in beside:
-        score[k] = max(score[k], BESIDE * best)
+        if 2 * paths[k][3] <= paths[k][0] or k[0].rsplit("/", 1)[-1] in TAGS:
+            score[k] = max(score[k], BESIDE * best)
     return "\n\n".join(b["text"] for b in seen.out if best and score[b["path"], b["frame"]] > share * best)
 
 
