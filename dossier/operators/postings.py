@@ -28,6 +28,8 @@ from dossier.sources.scratch import exists, new_folder, prepare
 from .search import B, K1, LEAST_IDF, SHORTEST, classified, held_whole, overlap_phrases, phrases_of, with_none
 
 BUCKETS, SLICE_BITS, PLACE_BITS, QUOTE = 64, 10, 32, 6
+#: Slices of a bucket that one task writes (4,096: some four million documents).
+SPREAD_BITS = 12
 #: Places of a slice that are sorted at once, which bounds a task's memory (about 60 bytes for each).
 CHUNK = 1 << 22
 #: Stands after the end of a text, so that its last characters begin a trigram too.
@@ -125,7 +127,8 @@ class Index:
         files = kept.select("__file").union(gone.select(F.col(self.file).cast("string"))) if gone is not None else kept.select("__file")
         files.distinct().write.mode("overwrite").parquet(f"{base}/files")
         posted = kept.select("__id", "__text", F.lower("__text").alias("low")).mapInArrow(_posted, _POSTINGS)
-        posted.repartition("kind", "bucket").sortWithinPartitions("kind", "bucket", "gram").write.mode("overwrite").option("compression", "zstd").partitionBy("kind", "bucket").parquet(f"{base}/postings")
+        spread = F.shiftright("slice", SPREAD_BITS)  # a bucket is dealt to more tasks as the corpus grows
+        posted.repartition("kind", "bucket", spread).sortWithinPartitions("kind", "bucket", "gram").write.mode("overwrite").option("compression", "zstd").partitionBy("kind", "bucket").parquet(f"{base}/postings")
         self.spark.range(0).write.parquet(f"{base}/_DONE")
         return self
 

@@ -54,13 +54,13 @@ def folder(spark: SparkSession, name: str) -> Iterator[str]:
 
 
 def prepare(spark: SparkSession) -> None:
-    """This package on executors that haven't installed it."""
+    """This package on executors that haven't installed it; once for a session, whoever asks first."""
     context, top = spark.sparkContext, Path(__file__).resolve().parents[1]
-    if getattr(context, "_dossier_core_shipped", False):
+    if getattr(context, "_dossier_shipped", False):
         return
     name = Path(tempfile.mkdtemp(prefix="spark-dossier-")) / f"{top.name}.zip"
     with zipfile.ZipFile(name, "w") as z:
         for p in sorted(top.rglob("*.py")):
             z.write(p, p.relative_to(top.parent))
     context.addPyFile(str(name))
-    context._dossier_core_shipped = True
+    context._dossier_shipped = True
