@@ -4,54 +4,74 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from .drafts import ANCHOR
 
 # Most characters of a chunk, and section numbers such as 4.7. with their titles.
 MOST = 4000
+#: Characters that a cut holds before it hands them on, and what each piece counts for besides its own.
+HELD, ROW = 1 << 21, 256
 DECIMAL = r"^\s*(\d{1,2}(?:\.\d{1,3}){1,4})\.\s*([^\s\d][^\t。；;]{0,38})\s*$"
 _LINES = "\n\r\x0b\x0c\x1c\x1d\x1e\x85  "
 
 
-def _pieces(text: str, most: int, anchor) -> list[dict]:
+def _pieces(text: str, most: int, anchor) -> Iterator[tuple[int | None, str]]:
+    """(page, text) of each piece."""
     if len(text) <= most:
-        return [{"page": None, "text": text}]
-    out, held, size = [], [], 0
+        yield None, text
+        return
 
-    def put() -> None:
-        page = next((int(m[2]) for m in map(anchor, held) if m), None)
-        out.append({"page": page, "text": "\n".join(held)})
+    def put(held: list[str]) -> tuple[int | None, str]:
+        return next((int(m[2]) for m in map(anchor, held) if m), None), "\n".join(held)
 
+    held, size = [], 0
     for line in text.splitlines():
         if held and (size + len(line) > most or anchor(line)):
-            put()
+            yield put(held)
             held, size = [], 0
         held.append(line)
         size += len(line) + 1
     if held:
-        put()
-    return out
+        yield put(held)
 
 
 def split_chunks(df: DataFrame, keys: list[str], text: str, page: str, most: int = MOST) -> DataFrame:
     """(keys, piece, page, text): chunks of over `most` characters cut at lines, before each page anchor and where the next line is too much.
 
     A piece takes the page of its own first anchor, else the chunk's.  Pieces depend on all lines before them, so a chunk is
-    cut by one Arrow-batched function of its text.
+    cut by one Arrow-batched function of its text, which hands on pieces as it goes and never holds those of a whole batch.
     """
     import re
 
-    @F.pandas_udf("array<struct<page: int, text: string>>")
-    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    plain = df.select(*keys, F.col(page).cast("int").alias("__page"), F.coalesce(text, F.lit("")).alias("__text"))
+    kinds = plain.select(*keys).schema
+    out = StructType([*kinds.fields, StructField("piece", IntegerType(), False), StructField("__own", IntegerType()), StructField("__page", IntegerType()), StructField(text, StringType(), False)])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = re.compile(ANCHOR)
-        for s in texts:
-            yield s.map(lambda t: _pieces(t or "", most, lambda line: found.match(line.strip())))
 
-    each = df.select(*keys, F.col(page).alias("__page"), F.posexplode(cut(F.col(text))).alias("piece", "__p"))
-    return each.select(*keys, "piece", F.coalesce("__p.page", "__page").alias(page), F.col("__p.text").alias(text))
+        def put(batch: pa.RecordBatch, rows: list[tuple]) -> pa.RecordBatch:
+            at, piece, own, texts = zip(*rows, strict=True)
+            whose = pa.array(at, pa.int64())
+            return pa.RecordBatch.from_arrays([*(batch.column(i).take(whose) for i in range(len(keys))), pa.array(piece, pa.int32()), pa.array(own, pa.int32()), batch.column(len(keys)).take(whose), pa.array(texts, pa.string())], out.names)
+
+        for batch in batches:
+            rows, size = [], 0
+            for at, whole in enumerate(batch.column(len(keys) + 1)):
+                for n, (own, piece) in enumerate(_pieces(whole.as_py(), most, lambda line: found.match(line.strip()))):
+                    rows.append((at, n, own, piece))
+                    size += len(piece) + ROW
+                    if size > HELD:
+                        yield put(batch, rows)
+                        rows, size = [], 0
+            if rows:
+                yield put(batch, rows)
+
+    return plain.mapInArrow(cut, out).select(*keys, "piece", F.coalesce("__own", "__page").alias(page), text)
 
 
 def has_substance(text: Column) -> Column:

@@ -70,3 +70,12 @@ def test_quotes_of_all_lengths_have_a_class(spark):
 def test_percentages(spark):
     d = spark.createDataFrame([("50 %",), ("7.5%",), ("n/a",), (None,)], "t string")
     assert [r[0] for r in d.select(lists.percent(F.col("t"))).collect()] == [50.0, 7.5, None, None]
+
+
+def test_pieces_of_a_batch_are_handed_on_as_they_come(spark, monkeypatch):
+    d = spark.createDataFrame([(i, "\n".join(f"{i} {k}" for k in range(i % 7)), None) for i in range(300)], "id int, text string, page int").coalesce(1)
+    monkeypatch.setattr(chunks, "HELD", 600)
+    got = rows(chunks.split_chunks(d, ["id"], "text", "page", 0), "id", "piece", "page", "text")
+    assert sorted(got, key=repr) == sorted(((i, k, None, f"{i} {k}" if i % 7 else "") for i in range(300) for k in range(max(1, i % 7))), key=repr)
+    plan = chunks.split_chunks(d, ["id"], "text", "page", 0)._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
