@@ -19,18 +19,21 @@ from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.sources.scratch import exists, new_folder, prepare
 
-from .search import B, K1, LEAST_IDF, SHORTEST, classified, held_whole, overlap_phrases, phrases_of, with_none
+from .search import B, K1, LEAST_IDF, SHORTEST, classified, overlap_phrases, phrases_of, with_none
 
-BUCKETS, SLICE_BITS, PLACE_BITS, QUOTE = 64, 10, 32, 6
-#: Slices of a bucket that one task writes (4,096: some four million documents).
-SPREAD_BITS = 12
-#: Places of a slice that are sorted at once, which bounds a task's memory (about 60 bytes for each).
+BUCKETS, SLICE_BITS, PLACE_BITS, QUOTE = 16, 10, 32, 6
+#: Characters that one task takes, about; their postings are sorted in its memory (some 30 bytes for each).
+TASK_CHARS = 8 << 20
+#: Bytes of a row group of texts, the least that a task can read.
+ROW_GROUP = 2 << 20
+#: Places of a slice that are sorted at once, which bounds a Python worker's memory (about 60 bytes for each).
 CHUNK = 1 << 22
 #: Stands after the end of a text, so that its last characters begin a trigram too.
 _END = 0x110000
@@ -55,30 +58,52 @@ def quote_grams(x: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))).view(np.int64)
 
 
+def strings(texts: list[np.ndarray], n: int) -> list[str]:
+    """The distinct strings of n characters, five at most, in texts of codes."""
+    x, owner = np.concatenate(texts), np.repeat(np.arange(len(texts)), list(map(len, texts)))
+    if len(x) < n:
+        return []
+    begin = np.flatnonzero(owner[: len(x) - n + 1] == owner[n - 1 :])
+    bits = int(x.max()).bit_length()
+    own = np.zeros(len(begin), np.int64)
+    for i in range(n):
+        if i == 3 and n * bits > 64:  # more than one key has room for: the first three characters by their number
+            own, bits = pd.factorize(own)[0].astype(np.int64), 21
+        own = own << bits | x[begin + i]
+    first = ~pd.Series(own).duplicated().to_numpy()
+    found = np.stack([x[begin[first] + i] for i in range(n)], axis=1).astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+    return [found[i : i + n] for i in range(0, len(found), n)]
+
+
 def bucket_of(kind: int, gram: np.ndarray) -> np.ndarray:
     return ((gram >> 21) * 0x9E3779B1 >> 16) % BUCKETS if kind == 3 else gram % BUCKETS
 
 
 def _batch(kind: int, slice_: int, grams: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    """Rows of equal grams with their places, in order."""
-    order = np.argsort(grams, kind="stable")
-    grams, at = grams[order], at[order]
-    first = np.flatnonzero(np.r_[True, grams[1:] != grams[:-1]]) if len(grams) else np.zeros(0, np.int64)
-    lists = pa.LargeListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int64)), pa.array(at)).cast(pa.list_(pa.int64()))
-    some = grams[first]
+    """Rows of equal grams with their distinct places, in order of buckets and grams; places come in order."""
+    own, some = pd.factorize(grams)
+    buckets = bucket_of(kind, some)
+    order = np.lexsort((some, buckets))
+    some, buckets, own = some[order], buckets[order], np.argsort(order)[own]
+    key = np.sort((own.astype(np.int64) << 32) | np.arange(len(at)))  # numbers of grams and of places: one key, sorted as integers
+    own, at = key >> 32, at[key & 0xFFFFFFFF]
+    if kind == 6:
+        fresh = np.r_[True, (own[1:] != own[:-1]) | (at[1:] != at[:-1])] if len(at) else np.zeros(0, bool)
+        own, at = own[fresh], at[fresh]
+    first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]]) if len(own) else np.zeros(0, np.int64)
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(at)].astype(np.int32)), pa.array(at))
     n = len(some)
-    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(bucket_of(kind, some).astype(np.int32)), pa.array(some), pa.array(np.full(n, slice_, np.int64)), lists], ["kind", "bucket", "gram", "slice", "at"])
+    return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(buckets.astype(np.int32)), pa.array(some), pa.array(np.full(n, slice_, np.int64)), lists], ["kind", "bucket", "gram", "slice", "at"])
 
 
 def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of (id, text, low): texts in the order of ids, so that a slice is met at one go."""
+    """Postings of (id, text, low): texts in the order of ids, so that a slice is met at one go but where parts of a file begin."""
 
     def out(slice_: int, low: list[np.ndarray], at: list[np.ndarray], held: list[np.ndarray], whose: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         if low:
             yield _batch(3, slice_, np.concatenate(low), np.concatenate(at))
         if held:
-            pairs = np.unique(np.stack([np.concatenate(held), np.concatenate(whose)]), axis=1)
-            yield _batch(6, slice_, pairs[0], pairs[1])
+            yield _batch(6, slice_, np.concatenate(held), np.concatenate(whose))
 
     slice_, size, parts = None, 0, ([], [], [], [])
     for batch in batches:
@@ -93,7 +118,7 @@ def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts[0].append(grams)
                 parts[1].append((np.int64(no) << PLACE_BITS) | np.arange(a, a + len(grams)))
                 if len(y) - a >= QUOTE:
-                    parts[2].append(np.unique(quote_grams(y[a : a + CHUNK + QUOTE - 1])))
+                    parts[2].append(quote_grams(y[a : a + CHUNK + QUOTE - 1]))
                     parts[3].append(np.full(len(parts[2][-1]), no, np.int64))
                 size += len(grams)
                 if size > CHUNK:
@@ -122,13 +147,19 @@ class Index:
         base = f"{self.path}/{len(self._segments())}"
         plain = F.coalesce(text, F.lit(""))
         named = docs.select(F.monotonically_increasing_id().alias("__id"), F.col(self.file).cast("string").alias("__file"), plain.alias("__text"), F.greatest(F.length(plain) - 2, F.lit(0)).alias("__size"), *self.keys, *self.attributes)
-        named.write.mode("overwrite").option("compression", "zstd").parquet(f"{base}/docs")
+        named.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(f"{base}/docs")
         kept = self.spark.read.schema(named.schema).parquet(f"{base}/docs")
         files = kept.select("__file").union(gone.select(F.col(self.file).cast("string"))) if gone is not None else kept.select("__file")
         files.distinct().write.mode("overwrite").parquet(f"{base}/files")
-        posted = kept.select("__id", "__text", F.lower("__text").alias("low")).mapInArrow(_posted, _POSTINGS)
-        spread = F.shiftright("slice", SPREAD_BITS)  # a bucket is dealt to more tasks as the corpus grows
-        posted.repartition("kind", "bucket", spread).sortWithinPartitions("kind", "bucket", "gram").write.mode("overwrite").option("compression", "zstd").partitionBy("kind", "bucket").parquet(f"{base}/postings")
+        # Each task sorts and writes the postings of its own part of the texts, so nothing is shuffled.  How small parts are is
+        # set in a session of its own, as it holds for all reads of one.
+        chars = kept.agg(F.sum(F.length("__text"))).first()[0] or 0
+        reading = self.spark.newSession()
+        reading.conf.set("spark.sql.files.minPartitionNum", str(chars // TASK_CHARS + 1))
+        reading.conf.set("spark.sql.files.openCostInBytes", "65536")
+        texts = reading.read.schema("__id long, __text string").parquet(f"{base}/docs")
+        posted = texts.select("__id", "__text", F.lower("__text").alias("low")).mapInArrow(_posted, _POSTINGS)
+        posted.sortWithinPartitions("kind", "bucket", "gram").write.mode("overwrite").option("compression", "zstd").partitionBy("kind", "bucket").parquet(f"{base}/postings")
         self.spark.range(0).write.parquet(f"{base}/_DONE")
         return self
 
@@ -170,6 +201,7 @@ class Index:
             asked = F.broadcast(self.spark.createDataFrame(wanted, "phrase string, offset int, parts int, gram long, bucket int"))  # a row for three characters of a query
             rows = self._postings(3, sorted({w[-1] for w in wanted})).where(F.col("gram").isin(sorted({w[3] for w in wanted})))
             own = rows.drop("bucket", "kind").join(asked.drop("bucket"), "gram").select("__segment", "slice", "phrase", "parts", "offset", F.transform("at", lambda a: a - F.col("offset")).alias("at"))
+            own = own.repartition("slice", "phrase")  # once, for both groupings
             each = own.groupBy("__segment", "slice", "phrase", "parts", "offset").agg(F.flatten(F.collect_list("at")).alias("at"))
             lists = each.groupBy("__segment", "slice", "phrase", "parts").agg(F.collect_list("at").alias("lists")).where(F.size("lists") == F.col("parts"))
             both = F.aggregate(F.slice("lists", 2, F.greatest(F.size("lists") - 1, F.lit(0))), F.get("lists", F.lit(0)), F.array_intersect)
@@ -252,12 +284,33 @@ class Index:
         texts = self.docs().select("__segment", "__id", "__text").join(held.select("__segment", "__id").distinct(), ["__segment", "__id"], "left_semi")
         return asked.join(texts, ["__segment", "__id"]).where(F.col("__text").contains(F.col("__quote"))).select(*keys, "__segment", "__id")
 
+    def held_short(self, quotes: DataFrame, quote: str, keys: list[str]) -> DataFrame:
+        """(keys) of the quotes of one to five characters that some text contains.
+
+        Texts are read once, in batches: of each batch the distinct strings of the quotes' lengths are joined with the quotes.
+        """
+        given = quotes.select(*keys, F.col(quote).alias("piece")).where(F.length("piece").between(1, QUOTE - 1))
+        sizes = sorted(r[0] for r in given.select(F.length("piece")).distinct().collect())  # five at most
+
+        def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                texts = [codes(t) for t in batch.column(0).to_pylist()]
+                ends = np.cumsum([0, *map(len, texts)])
+                start = 0
+                while start < len(texts):  # whole texts up to a chunk, so that a worker's memory is bounded
+                    stop = max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK)) - 1)
+                    yield pa.RecordBatch.from_arrays([pa.array([p for n in sizes for p in strings(texts[start:stop], n)], pa.string())], ["piece"])
+                    start = stop
+
+        there = self.docs().select("__text").mapInArrow(pieces, "piece string").join(given.select("piece").distinct(), "piece", "left_semi").distinct()
+        return given.join(there, "piece", "left_semi").select(*keys)
+
     def quote_classes(self, quotes: DataFrame, quote: str, keys: list[str], resolved: float = 0.65, absent: float = 0.3) -> DataFrame:
         """(keys, ratio, class): as search.quote_classes; texts are only read for quotes shorter than six characters."""
         whole = self.containing(quotes.where(F.length(quote) >= QUOTE), quote, keys).select(*keys).distinct()
         short = quotes.where(F.length(quote) < QUOTE)
         if not short.isEmpty():
-            whole = whole.union(held_whole(short, self.docs(), quote, "__text", keys, QUOTE))
+            whole = whole.union(self.held_short(short, quote, keys).distinct())
         return classified(quotes, quote, keys, whole, self.existence(quotes, quote, keys), QUOTE, resolved, absent)
 
 

@@ -108,3 +108,28 @@ def test_an_empty_corpus(spark, first):
     index = postings.Index(spark, new_folder(spark, "test"), ["id"], ["lang"], "file").add(first.where("false"))
     assert index.search(["the ab", "a"], "id").isEmpty() and index.places([]).isEmpty()
     assert [tuple(r) for r in index.existence(spark.createDataFrame([(1, "abcdefgh")], "q long, quote string"), "quote", ["q"]).collect()] == [(1, 3, 0)]
+
+
+def shuffled_records(spark):
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30000)
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_a_build_shuffles_texts_and_no_postings(spark, first):
+    before = shuffled_records(spark)
+    index = postings.Index(spark, new_folder(spark, "test"), ["id"], ["lang"], "file").add(first)
+    assert shuffled_records(spark) - before < 4 * first.count() < index._all("postings").count()
+
+
+def test_short_quotes(spark, index, first):
+    quotes = spark.createDataFrame(list(enumerate(["a", "Ab", "aB", "THE", "\n", "😀y", "本語 t", "ab\nab", "É", "é", "efg", "cdefg", "zz", "abcdefg", "", None])), "q long, quote string")
+    same = lambda df: sorted(r[0] for r in df.collect())
+    assert same(index.held_short(quotes, "quote", ["q"])) == same(search.held_whole(quotes.where("length(quote) < 6"), first, "quote", "text", ["q"]))
+
+
+def test_strings_of_texts_of_any_characters():
+    texts = ["a😀b日a😀b日", "", "ab", "日本\x00語é", "b日a"]
+    for n in range(1, 6):
+        for some in (texts, ["abcabcab", "bca"]):
+            assert sorted(postings.strings([postings.codes(t) for t in some], n)) == sorted({t[i : i + n] for t in some for i in range(len(t) - n + 1)})
