@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import rolling as R
-from .shared import prepare, removed, written
+from .shared import likely, prepare, removed, written
 
 SHINGLE, BANDS, ROWS = 5, 40, 4
 
@@ -212,7 +212,7 @@ def _components(docs: DataFrame, percent: int, block: int) -> DataFrame:
     # Sets again, of those that are compared at all: in a star, or in a bucket with two members besides the centre.
     wanted = star.select("id").union(star.select("centre")).union(member.where("members > 2 and id <> centre").select("id")).distinct()
     wanted = written(wanted.join(firsts.select("id", "row.key_a", "row.key_b"), "id"), "wanted")
-    chosen = texts.select("key_a", "key_b", "text").join(wanted, ["key_a", "key_b"]).select("id", "text")
+    chosen = likely(texts.select("key_a", "key_b", "text"), wanted, "key_a").where("likely").join(wanted, ["key_a", "key_b"]).select("id", "text")
     set_table = written(chosen.mapInArrow(_sets, "id long, shingles array<long>"), "sets")
     removed(wanted)
     sets = set_table.dropDuplicates(["id"])
@@ -252,11 +252,14 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     first = known.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key_a", "key_b")).alias("f"), F.count("*").alias("n"))
     first = written(first.select("n", "f.key_a", "f.key_b"), "firsts")
     gone = known.select("key_a", "key_b").distinct().join(first, ["key_a", "key_b"], "left_anti")
+    # Rows that are repeated as a whole have one key: one of them is chosen.
+    twice = known.groupBy("key_a", "key_b").agg(F.count("*").alias("rows")).where("rows > 1").join(first, ["key_a", "key_b"], "left_semi")
+    asked = written(gone.withColumn("one", F.lit(False)).union(twice.select("key_a", "key_b", F.lit(True))), "asked")
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc", *_row_keys())
-    kept = keyed.join(gone, ["key_a", "key_b"], "left_anti")
-    # Rows that are repeated as a whole have one key: only where there are any is one of them chosen.
-    twice = known.groupBy("key_a", "key_b").agg(F.count("*").alias("rows")).where("rows > 1").join(first, ["key_a", "key_b"], "left_semi").select("key_a", "key_b")
-    if not twice.isEmpty():
-        twice = written(twice, "twice")
-        kept = kept.join(twice, ["key_a", "key_b"], "left_anti").union(kept.join(twice, ["key_a", "key_b"], "left_semi").dropDuplicates(["key_a", "key_b"]))
+    keyed = likely(keyed, asked, "key_a")
+    kept = keyed.where("not likely").select("doc")
+    rest = keyed.where("likely").join(asked, ["key_a", "key_b"], "left")
+    kept = kept.union(rest.where("one is null").select("doc"))
+    if not asked.where("one").isEmpty():
+        kept = kept.union(rest.where("one").dropDuplicates(["key_a", "key_b"]).select("doc"))
     return kept.select("doc.*")

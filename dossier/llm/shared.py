@@ -68,6 +68,23 @@ def removed(table: DataFrame) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def likely(rows: DataFrame, keys: DataFrame, column: str, per_key: int = 32, most: int = 2048) -> DataFrame:
+    """rows with `likely`: true wherever keys have the row's `column` (a hash, long), and for about 1 in per_key of the others.
+
+    The keys' bits are broadcast, at most `most` buckets of 4 KB (8 MB) whatever the number of keys, so that rows which
+    no key can match aren't shuffled; a join with the keys is to follow.  Beyond `most` more of the others are true.
+    """
+    bucket_bits = 1 << 15
+    buckets = min(most, max(1, -(-keys.count() * per_key // bucket_bits)))
+    at = F.pmod(F.col(column), F.lit(buckets * bucket_bits))
+    place = (at % bucket_bits).cast("int")
+    bits = keys.groupBy(F.floor(at / bucket_bits).alias("bucket")).agg(F.bitmap_construct_agg(place).alias("bits"))
+    found = rows.withColumn("bucket", F.floor(at / bucket_bits)).join(F.broadcast(bits), "bucket", "left")
+    byte = F.conv(F.hex(F.substring("bits", F.floor(place / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    bit = F.call_function("getbit", byte, place % 8)
+    return found.withColumn("likely", F.coalesce(bit == 1, F.lit(False))).select(*rows.columns, "likely")
+
+
 def prepare(spark: SparkSession) -> None:
     """This package on executors that haven't installed it."""
     context, top = spark.sparkContext, Path(__file__).resolve().parents[1]

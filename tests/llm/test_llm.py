@@ -5,11 +5,14 @@ import hashlib
 import itertools
 import random
 import re
+import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from dossier.llm import leaks, minhash, pages, phrases, pieces, pii, quality, secrets, shards, suffixes
+from dossier.llm.shared import likely, written
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ALNUM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -69,6 +72,48 @@ def test_near_duplicates(docs, rows):
     assert table(minhash.near_duplicates(docs, block=2), "doc_id", "n_shingles", "component_id", "kept") == expected
 
 
+def test_texts_that_nothing_is_compared_with_are_not_shuffled(spark):
+    rnd = random.Random(3)
+    prose = lambda: " ".join(f"{rnd.getrandbits(48):012x}" for _ in range(2000))
+    texts = [prose() for _ in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (900, texts[5] + " end"), (901, texts[6])], "doc_id long, text string").repartition(3)
+    docs.write.parquet(path := tempfile.mkdtemp(prefix="spark-") + "/documents.parquet")
+    docs = spark.read.parquet(path)
+
+    def moved(work):
+        def written():
+            spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+            return spark.sparkContext._jsc.sc().statusStore().executorSummary("driver").totalShuffleWrite()
+
+        before = written()
+        out = work()
+        time.sleep(1)  # the store takes up what tasks report ten times a second, and not without a task
+        spark.range(8).repartition(2).count()
+        return out, written() - before
+
+    least = sum(map(len, texts)) / 4
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found, report = moved(lambda: table(minhash.near_duplicates(docs).where("doc_id <> component_id"), "doc_id", "component_id"))
+        kept, rest = moved(lambda: table(minhash.drop_near_duplicates(docs), "doc_id"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+    assert found == [(900, 5), (901, 6)] and kept == sorted(((d,) for d in range(300)), key=repr)
+    assert report < least and rest < least
+
+
+def test_no_key_is_missed_by_its_bitmap(spark):
+    keys = written(spark.range(3000).select(F.xxhash64("id").alias("k")).union(spark.range(2).select((F.lit(-(1 << 63)) + F.col("id")).alias("k"))), "keys")
+    rows = keys.select("k", F.lit(True).alias("key")).union(spark.range(10000, 30000).select(F.xxhash64("id").alias("k"), F.lit(False))).union(spark.range(1).select(F.lit(None).cast("long"), F.lit(False)))
+    for most, others in ((2048, 1500), (1, 3000)):
+        out = likely(rows, keys, "k", most=most)
+        assert out.columns == ["k", "key", "likely"] and out.count() == 23003
+        assert out.where("key and not likely").isEmpty() and out.where("likely is null").isEmpty()
+        assert out.where("likely and not key").count() < others
+    assert likely(rows, keys.limit(0), "k").where("likely").isEmpty()
+
+
 def test_sketches_fill_every_coordinate_of_any_set():
     import numpy as np
 
