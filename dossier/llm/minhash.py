@@ -103,11 +103,11 @@ def _linked_across(percent: int):
 
         def compare() -> pa.RecordBatch | None:
             rows = pa.Table.from_batches(held).combine_chunks()
-            ids, comps, side = (rows.column(c).to_numpy() for c in ("id", "comp", "side"))
+            ids, comps, side = (rows.column(c).to_numpy().copy() for c in ("id", "comp", "side"))
             shingles = rows.column("shingles").combine_chunks()
             if isinstance(shingles, pa.ChunkedArray):
                 shingles = shingles.chunk(0)
-            flat = shingles.flatten().to_numpy(zero_copy_only=False)
+            flat = shingles.flatten().to_numpy(zero_copy_only=False).view(np.uint64)  # as they were sorted
             bounds = np.r_[0, np.cumsum(shingles.value_lengths().to_numpy(zero_copy_only=False))]
             sizes, two = np.diff(bounds), len(np.unique(side)) > 1
             found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -130,8 +130,10 @@ def _linked_across(percent: int):
                 ends = np.cumsum(sizes[j])
                 both = hits[ends] - hits[ends - sizes[j]]
                 good = j[100 * both >= percent * (sizes[i] + sizes[j] - both)]
-                if len(good):
-                    found.append((np.full(len(good), ids[i]), ids[good]))
+                if len(good):  # one link to each other component, which is this one from now on
+                    joined, one = np.unique(comps[good], return_index=True)
+                    found.append((np.full(len(one), ids[i]), ids[good[one]]))
+                    comps[np.isin(comps, joined)] = comps[i]
             if not found:
                 return None
             a, b = (np.concatenate(x) for x in zip(*found, strict=True))

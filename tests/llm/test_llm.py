@@ -72,6 +72,47 @@ def test_near_duplicates(docs, rows):
     assert table(minhash.near_duplicates(docs, block=2), "doc_id", "n_shingles", "component_id", "kept") == expected
 
 
+def test_near_copies_that_their_centre_misses_are_linked(spark):
+    """Copies of one text drift apart, so most are linked with other copies and not with the centre of their buckets."""
+    rnd = random.Random(11)
+    base = [f"{rnd.getrandbits(32):08x}" for _ in range(150)]
+    texts = []
+    for i in range(60):
+        w = list(base)
+        for j in rnd.sample(range(24), 5):
+            w[6 * j + 3] = f"e{j}"
+        texts.append(" ".join([*w, f"own{i}"]))
+    sets = [frozenset(zip(*(t.split()[k:] for k in range(5)), strict=False)) for t in texts]
+    comp = list(range(60))
+    for _ in comp:
+        for a, b in itertools.combinations(range(60), 2):
+            if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                comp[a] = comp[b] = min(comp[a], comp[b])
+    assert 1 < len(set(comp)) < 55
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    for block in (1000, 7):
+        assert table(minhash.near_duplicates(docs, block=block), "doc_id", "component_id") == sorted(enumerate(comp), key=repr)
+
+
+def test_links_across_components_of_a_block():
+    import numpy as np
+    import pyarrow as pa
+
+    rnd = random.Random(2)
+    texts = [" ".join(f"{rnd.getrandbits(32):08x}" for _ in range(100)) for _ in range(3)]
+    texts = [f"{t} tail{k}" for t in texts for k in range(4)]
+    elements, sizes = minhash.shingle_sets(pa.array(texts, pa.large_string()))
+    lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(elements.view(np.int64)))
+    one, n = pa.array([0] * 12), pa.array(range(12))
+    block = pa.RecordBatch.from_arrays([one, one, one, one, n, n, lists], ["key", "low", "high", "side", "id", "comp", "shingles"])
+    links = [(a, b) for out in minhash._linked_across(75)(iter([block])) for a, b in zip(out["a"].to_pylist(), out["b"].to_pylist(), strict=True)]
+    comp = list(range(12))
+    for _ in comp:
+        for a, b in links:
+            comp[a] = comp[b] = min(comp[a], comp[b])
+    assert comp == [0] * 4 + [4] * 4 + [8] * 4 and len(links) == 9
+
+
 def test_texts_that_nothing_is_compared_with_are_not_shuffled(spark):
     rnd = random.Random(3)
     prose = lambda: " ".join(f"{rnd.getrandbits(48):012x}" for _ in range(2000))
