@@ -4,7 +4,9 @@ Texts are packed into slices of bounded size, written once, so a slice is the sa
 pass each slice sorts its keys; equal keys of a slice are one entry with a flag (the map-side combine, so a hot key
 is one entry for each slice and no more).  Entries are dealt out by their leading bits, many in one row, as
 compressed gaps; each range of buckets is merged by itself, and one bit for each entry goes back to its slice.
-A range and a slice have a bound that the parameters set; a range has about `RANGE_KEYS` keys, whatever the input.
+A range and a slice have a bound that the parameters set; a range has at most about `RANGE_KEYS` keys, whatever the
+input, and is ordered in parts of `PART_KEYS`.  A slice sends a row to each range, so both are as large as memory
+allows: a slice may consist of pieces whose keys are sorted one piece at a time and sent together.
 """
 
 from __future__ import annotations
@@ -19,32 +21,37 @@ from pyspark.sql import functions as F
 
 from . import rolling as R
 
-SLICE_BYTES, RANGE_KEYS = 2 << 20, 1 << 20
-SENT = "range long, slice long, rank long, n int, entries binary, flags binary"
-BITS = "slice long, range long, n int, bits binary"
+RANGE_KEYS, PART_KEYS = 4 << 20, 1 << 20
+#: n: entries of each piece of the slice.  more: keys of the slice beyond its entries, in one of its rows.
+SENT = "range long, slice long, rank long, n array<int>, entries binary, flags binary, more long"
+BITS = "slice long, range long, n array<int>, bits binary, left long"
+_FAST, _SMALL, _BACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def zipped(x: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(x).tobytes())
+    return _SMALL.compress(np.ascontiguousarray(x).tobytes())
 
 
 def unzipped(data: bytes, kind: type = np.int64) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
+    return np.frombuffer(_BACK.decompress(data), kind)
 
 
-def packed(values: np.ndarray) -> bytes:
-    """Sorted integers as compressed gaps, byte planes apart."""
+def packed(values: np.ndarray, sizes: np.ndarray) -> bytes:
+    """Runs of sorted integers as compressed gaps, byte planes apart; sizes: of the runs."""
     gaps = np.diff(values, prepend=R.U64(0))
+    first = (np.cumsum(sizes) - sizes)[sizes > 0]
+    gaps[first] = values[first]
     planes = [(gaps >> R.U64(8 * i)).astype(np.uint8).tobytes() for i in range(-(-int(gaps.max(initial=0)).bit_length() // 8))]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return _FAST.compress(b"".join(planes))
 
 
-def unpacked(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(-1, n)
-    gaps = np.zeros(n, np.uint64)
-    for i, plane in enumerate(planes):
-        gaps |= plane.astype(np.uint64) << R.U64(8 * i)
-    return np.cumsum(gaps, dtype=np.uint64)
+def unpacked(data: bytes, sizes: np.ndarray) -> np.ndarray:
+    n = int(sizes.sum())
+    gaps = np.zeros(n + 1, np.uint64)
+    for i, plane in enumerate(np.frombuffer(_BACK.decompress(data), np.uint8).reshape(-1, n)):
+        gaps[1:] |= plane.astype(np.uint64) << R.U64(8 * i)
+    sums = np.cumsum(gaps, dtype=np.uint64)
+    return sums[1:] - np.repeat(sums[np.cumsum(sizes) - sizes], sizes)
 
 
 def in_order(keys: np.ndarray, bits: int) -> np.ndarray:
@@ -60,6 +67,10 @@ def in_order(keys: np.ndarray, bits: int) -> np.ndarray:
     return order
 
 
+#: Rows that are made or read at a time.
+_ROWS = 256
+
+
 class Entries:
     """Distinct keys of a slice in order: where each starts in the order of its places, and its flag."""
 
@@ -78,48 +89,62 @@ class Entries:
         out[self.order] = np.repeat(of_entries, self.counts)
         return out
 
-    def sent(self, slice_: int, rank: int, flags: np.ndarray, range_bits: int) -> Iterator[pa.RecordBatch]:
-        """Rows of a pass: the entries of each range, with their flags as the last bit."""
-        ranges = self.values >> R.U64(self.bits - range_bits) if range_bits else np.zeros(len(self.values), np.uint64)
-        names = np.unique(ranges)
-        cuts = np.r_[np.searchsorted(ranges, names), len(ranges)].tolist()
-        rest = self.values & R.U64((1 << (self.bits - range_bits)) - 1)
-        rows = [(int(r), slice_, rank, b - a, packed(rest[a:b]), zipped(np.packbits(flags[a:b]))) for r, a, b in zip(names.tolist(), cuts[:-1], cuts[1:], strict=True)]
-        columns = list(zip(*rows, strict=True)) if rows else [()] * 6
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["range", "slice", "rank", "n", "entries", "flags"])
+
+def sent(pieces: list[tuple[np.ndarray, np.ndarray]], bits: int, slice_: int, rank: int, range_bits: int, more: int = 0) -> Iterator[pa.RecordBatch]:
+    """Rows of a pass: the entries of each range, piece after piece.  pieces: the distinct keys of each in order, with their flags."""
+    cuts = np.zeros((len(pieces), (1 << range_bits) + 1), np.int64)
+    for own, (values, _) in zip(cuts, pieces, strict=True):
+        own[:-1] = np.searchsorted(values >> R.U64(bits - range_bits), np.arange(1 << range_bits, dtype=np.uint64)) if range_bits else 0
+        own[-1] = len(values)
+    sizes, rest = np.diff(cuts), R.U64((1 << (bits - range_bits)) - 1)
+    names = np.flatnonzero(sizes.sum(axis=0))
+    for at in range(0, len(names), _ROWS):
+        rows = []
+        for r in names[at : at + _ROWS].tolist():
+            keys, flags = (np.concatenate([p[i][a:b] for p, a, b in zip(pieces, cuts[:, r], cuts[:, r + 1], strict=True)]) for i in (0, 1))
+            rows.append((r, slice_, rank, sizes[:, r], packed(keys & rest, sizes[:, r]), zipped(np.packbits(flags)), more))
+            more = 0
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["range", "slice", "rank", "n", "entries", "flags", "more"])
 
 
 def range_bits(keys: int, most: int = RANGE_KEYS) -> int:
-    """Leading bits that tell ranges of about `most` keys apart."""
+    """Leading bits that tell ranges of `most` keys, or up to half as many, apart."""
     return max(0, int(keys // most).bit_length())
 
 
-def decided(sent: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-    """(slice, bits): for each slice the decision on each of its entries, in their order.
+def decided(sent: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray], part_keys: int = PART_KEYS) -> DataFrame:
+    """(slice, bits, left): for each slice the decision on each of its entries, in their order, and how many keys those may have that are true.
 
     decide: takes the keys of all entries of a range, ordered by key, with the ranks of their slices and their flags.
     """
 
     def merge(rows: list[dict]) -> pa.RecordBatch:
-        keys = [unpacked(r["entries"], r["n"]) for r in rows]
-        flags = [np.unpackbits(unzipped(r["flags"], np.uint8), count=r["n"]).astype(bool) for r in rows]
-        sizes = np.array([r["n"] for r in rows])
-        every = np.concatenate(keys)
-        order = in_order(every, int(every.max(initial=1)).bit_length())
-        ranks = np.repeat(np.array([r["rank"] for r in rows]), sizes)
-        out = np.zeros(len(every), bool)
-        out[order] = decide(every[order], ranks[order], np.concatenate(flags)[order])
-        ends = np.cumsum(sizes).tolist()
-        bits = [np.packbits(out[e - n : e]).tobytes() for e, n in zip(ends, sizes.tolist(), strict=True)]
-        columns = ([r["slice"] for r in rows], [r["range"] for r in rows], sizes, bits)
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], ["slice", "range", "n", "bits"])
+        sizes = np.array([sum(r["n"]) for r in rows])
+        places = np.r_[0, np.cumsum(sizes)].tolist()
+        every, flags, out = np.empty(places[-1], np.uint64), np.empty(places[-1], bool), np.zeros(places[-1], bool)
+        for r, a, b in zip(rows, places[:-1], places[1:], strict=True):
+            every[a:b] = unpacked(r["entries"], np.array(r["n"]))
+            flags[a:b] = np.unpackbits(unzipped(r["flags"], np.uint8), count=b - a)
+        ranks, of = np.array([r["rank"] for r in rows]), np.repeat(np.arange(len(rows), dtype=np.int32), sizes)
+        width, parts = int(every.max(initial=1)).bit_length(), int(len(every) // part_keys).bit_length()
+        low = max(0, width - parts)  # bits within a part
+        for part in range(1 << min(parts, width)):
+            at = np.flatnonzero(every >> R.U64(low) == part) if parts else np.arange(len(every))
+            keys = every[at] & R.U64((1 << low) - 1)
+            order = in_order(keys, low)
+            keys, at = keys[order], at[order]
+            out[at] = decide(keys, ranks[of[at]], flags[at])
+        bits = [np.packbits(out[a:b]).tobytes() for a, b in zip(places[:-1], places[1:], strict=True)]
+        left = [int(out[a:b].sum()) + r["more"] for r, a, b in zip(rows, places[:-1], places[1:], strict=True)]
+        columns = ([r["slice"] for r in rows], [r["range"] for r in rows], [r["n"] for r in rows], bits, left)
+        kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.binary(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["slice", "range", "n", "bits", "left"])
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
         for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1).to_pylist()[0]
+            for row in (row for i in range(0, batch.num_rows, _ROWS) for row in batch.slice(i, _ROWS).to_pylist()):
                 if held and held[0]["range"] != row["range"]:
                     yield merge(held)
                     held = []
@@ -129,14 +154,17 @@ def decided(sent: DataFrame, decide: Callable[[np.ndarray, np.ndarray, np.ndarra
 
     dealt = sent.repartition("range").sortWithinPartitions("range")
     found = dealt.mapInArrow(ranges, BITS)
-    return found.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("range", "n", "bits"))).alias("bits"))
+    return found.groupBy("slice").agg(F.sort_array(F.collect_list(F.struct("range", "n", "bits"))).alias("bits"), F.sum("left").alias("left"))
 
 
-def read_bits(bits: list[dict] | None) -> np.ndarray:
-    """The decisions on a slice's entries."""
+def read_bits(bits: list[dict] | None, pieces: int = 1) -> list[np.ndarray]:
+    """The decisions on the entries of each piece of a slice."""
     if not bits:
-        return np.zeros(0, bool)
-    return np.concatenate([np.unpackbits(np.frombuffer(b["bits"], np.uint8))[: b["n"]] for b in bits]).astype(bool)
+        return [np.zeros(0, bool)] * pieces
+    sizes = np.array([b["n"] for b in bits])
+    every = np.concatenate([np.unpackbits(np.frombuffer(b["bits"], np.uint8), count=n) for b, n in zip(bits, sizes.sum(axis=1).tolist(), strict=True)]).astype(bool)
+    first = (np.cumsum(sizes) - sizes.ravel()).reshape(sizes.shape)
+    return [every[np.repeat(first[:, j], sizes[:, j]) + R.runs(sizes[:, j])] for j in range(pieces)]
 
 
 def groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -128,7 +128,7 @@ def _sent(length: int, range_bits: int):
                 own = Words(row, length)
                 docs = own.doc[own.entries.order]
                 ends = own.entries.first + own.entries.counts - 1
-                yield from own.entries.sent(row["slice"], row["low"], docs[own.entries.first] != docs[ends], range_bits)
+                yield from B.sent([(own.entries.values, docs[own.entries.first] != docs[ends])], 64, row["slice"], row["low"], range_bits)
 
     return send
 
@@ -142,7 +142,7 @@ def _passages(length: int):
                 row = batch.slice(i, 1).to_pylist()[0]
                 own = Words(row, length)
                 firsts = own.doc[own.entries.order][own.entries.first]
-                first = own.entries.of_places(B.read_bits(row["bits"])) & (own.doc == own.entries.of_places(firsts))
+                first = own.entries.of_places(B.read_bits(row["bits"])[0]) & (own.doc == own.entries.of_places(firsts))
                 at = np.flatnonzero(first)
                 text = np.searchsorted(own.first, own.at[at], "right")
                 new = np.flatnonzero(np.r_[True, (np.diff(at) != 1) | (np.diff(text) != 0)]) if len(at) else at

@@ -383,6 +383,34 @@ def test_suffixes_in_any_digits(docs, depths):
     assert table(suffixes.repeated_bytes(docs, depths=depths, slice_bytes=700, range_keys=300), *columns) == table(suffixes.repeated_bytes(docs), *columns)
 
 
+def test_pieces_of_a_slice_share_a_row_for_each_range(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    B, rnd = suffixes.B, np.random.default_rng(4)
+    keys = [[np.unique(rnd.integers(0, 1 << 20, n).astype(np.uint64)) for n in sizes] for sizes in ((900, 1, 2500), (0, 4000, 70))]
+    flags = [[np.isin(k, k[:2]) for k in own] for own in keys]
+    for bits in (0, 3):
+        batches = [b for s in (0, 1) for b in B.sent(list(zip(keys[s], flags[s], strict=True)), 20, s, s, bits, 5)]
+        sent = spark.createDataFrame(pa.Table.from_batches(batches))
+        assert sent.groupBy("slice").count().where(f"count <> {1 << bits}").isEmpty()
+        every, counts = np.unique(np.concatenate([k for own in keys for k in own]), return_counts=True)
+        kept = set(every[counts > 1].tolist()) | {k for own, f in zip(keys, flags, strict=True) for x, y in zip(own, f, strict=True) for k in x[y].tolist()}
+        for part_keys in (1 << 20, 100):
+            for row in B.decided(sent, B.repeated, part_keys).collect():
+                got = B.read_bits(row["bits"], 3)
+                expected = [[k in kept for k in x.tolist()] for x in keys[row["slice"]]]
+                assert [x.tolist() for x in got] == expected and row["left"] == sum(map(sum, expected)) + 5
+
+
+def test_a_pass_has_ranges_for_the_suffixes_that_are_left(docs, monkeypatch):
+    asked, bits = [], suffixes.B.range_bits
+    monkeypatch.setattr(suffixes.B, "range_bits", lambda keys, most: asked.append(keys) or bits(keys, most))
+    columns = ("doc_id", "n_removed", "n_spans", "kept_sha256")
+    assert table(suffixes.repeated_bytes(docs, slice_bytes=9000, range_keys=300, piece_bytes=700), *columns) == table(suffixes.repeated_bytes(docs), *columns)
+    assert 0 < asked[1] < asked[0]
+
+
 def test_ids_far_apart(spark):
     far = spark.createDataFrame([(-(1 << 63), "a", 0), ((1 << 63) - 1, "a", 0), (None, "a", 0), (5, "a", 0)], "doc_id long, text string, x int")
     assert sorted(r["slot"] for r in shards.shard_by_bytes(far, 1).collect()) == [0, 1, 2, 3]
