@@ -4,9 +4,9 @@ Texts are packed into slices of bounded size, written once, so a slice is the sa
 pass each slice sorts its keys; equal keys of a slice are one entry with a flag (the map-side combine, so a hot key
 is one entry for each slice and no more).  Entries are dealt out by their leading bits, many in one row, as
 compressed gaps; each range of buckets is merged by itself, and one bit for each entry goes back to its slice.
-A range and a slice have a bound that the parameters set; a range has at most about `RANGE_KEYS` keys, whatever the
-input, and is ordered in parts of `PART_KEYS`.  A slice sends a row to each range, so both are as large as memory
-allows: a slice may consist of pieces whose keys are sorted one piece at a time and sent together.
+A range and a slice have a bound that the parameters set; a range has at most about `RANGE_KEYS` keys (or what its
+operator says), whatever the input, and is ordered in parts of `PART_KEYS`.  A slice sends a row to each range, so both
+are as large as memory allows: a slice may consist of pieces whose keys are sorted one at a time and sent together.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from . import rolling as R
 
-RANGE_KEYS, PART_KEYS = 4 << 20, 1 << 20
+RANGE_KEYS, PART_KEYS = 1 << 20, 1 << 20
 #: n: entries of each piece of the slice.  more: keys of the slice beyond its entries, in one of its rows.
 SENT = "range long, slice long, rank long, n array<int>, entries binary, flags binary, more long"
 BITS = "slice long, range long, n array<int>, bits binary, left long"

@@ -34,6 +34,8 @@ from .shared import prepare, removed, written
 LENGTH, DEPTHS = 200, (64, 200)
 #: Bytes of text that are shuffled as one slice, and those whose suffixes are sorted at a time.
 SLICE_BYTES, PIECE_BYTES = 8 << 20, 2 << 20
+#: Suffixes of a range at most.
+RANGE_KEYS = 4 << 20
 #: Bits of a bucket number in passes before the last, beyond those that number all suffixes: one in 2**SPARE stays by chance.
 SPARE = 4
 _SLICE = "slice long, ids array<long>, sizes array<long>, data binary, suffixes long"
@@ -142,7 +144,7 @@ def _cut(length: int, depths: tuple[int, ...], bits: tuple[int, ...], piece_byte
     return cut
 
 
-def repeated_bytes(docs: DataFrame, length: int = LENGTH, depths: tuple[int, ...] = DEPTHS, slice_bytes: int = SLICE_BYTES, range_keys: int = B.RANGE_KEYS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
+def repeated_bytes(docs: DataFrame, length: int = LENGTH, depths: tuple[int, ...] = DEPTHS, slice_bytes: int = SLICE_BYTES, range_keys: int = RANGE_KEYS, piece_bytes: int = PIECE_BYTES) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and the removed byte ranges as two lists.
 
     depths: bytes through which suffixes are ordered after each pass; the last one is `length`.
